@@ -40,9 +40,9 @@ def refusals(ledger: DataFrame) -> DataFrame:
 
 def marks(winners: DataFrame, at: Column, operator: Column) -> DataFrame:
     """Replay marks for dead letters (event_id) as actions."""
-    typed = {"action": F.lit("mark"), "action_ts": at, "action_id": operator}
+    given = [F.lit("mark").alias("action"), at.alias("action_ts"), operator.alias("action_id")]
     nulls = {c: F.lit(None) for c in ["raw_payload", "error", "reason", "attempts", "topic", "partition", "offset"]}
-    rows = winners.select("event_id").withColumns({**typed, **nulls})
+    rows = winners.select("event_id", *given).withColumns(nulls)
     ddl = dict(zip(columns(DLQ_ACTIONS), ["string", "string", "timestamp", "string", "binary", "string", "string", "int", "string", "int", "bigint"], strict=True))
     return rows.select(*[F.col(c).cast(t).alias(c) for c, t in ddl.items()])
 

@@ -29,7 +29,7 @@ def batch_verdict(
     bad_size = (count < 1) | (count > max_batch)
     outcome = F.when(too_large, "rejected").when(malformed, "malformed").when(bad_size, "rejected").otherwise("accepted")
     field = F.when(~too_large & ~malformed & bad_size, "events").otherwise("")
-    raw = F.transform(elements, F.to_json)
+    raw = F.transform(elements, lambda e: F.to_json(e))
     judged = fields.once(
         rows, outcome.alias("outcome"), field.alias("batch_field"), count.alias("event_count"), raw.alias("_raw")
     )

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetfold.plans import log_queries
+from fleetfold.plans import deadletter_queries, geo_queries, ingest_queries, log_queries, report_queries, state_queries, stream_queries
 from fleetfold.plans.telemetry import naive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = [log_queries]
+FAMILIES = [log_queries, state_queries, ingest_queries, deadletter_queries, geo_queries, report_queries, stream_queries]
 
 
 def _naive(query: Query) -> Query:

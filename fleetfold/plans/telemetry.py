@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from fleetfold.functions.ids import dashed
 from fleetfold.operators.envelope import judge, marshal_envelope
 from fleetfold.operators import classify, state
+from fleetfold.session import work_dir
+from fleetfold.sources.tables import read_history
 
 TOPIC = "telemetry.raw"
 PARTITIONS = 6
@@ -169,5 +171,12 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.history(classified(spark, sf_dir))
 
 
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as the table it is in production, for operators that read it more than once."""
+    path = work_dir(spark, "history")
+    history(spark, sf_dir).write.parquet(path)
+    return read_history(spark, path)
+
+
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.current_state(history(spark, sf_dir))
