@@ -15,6 +15,8 @@ from fleetfold.streaming.consume import replay, run_stream
 from fleetfold.streaming.ledger import Ledger
 
 C = t.CLASSIFIED_SQL
+# Files per produced step, and so per micro-batch.
+FILES = 8
 
 
 def _produced(spark, sf) -> str:
@@ -22,14 +24,14 @@ def _produced(spark, sf) -> str:
     path = work_dir(spark, "log")
     log = t.raw_log(spark, sf)
     half = F.floor(log.select((F.max("offset") + 1) / 2).scalar())
-    log_source.write_log(log.filter(F.col("offset") < half).coalesce(1), path)
-    log_source.write_log(log.filter(F.col("offset") >= half).coalesce(1), path)
+    log_source.write_log(log.filter(F.col("offset") < half).repartition(FILES), path)
+    log_source.write_log(log.filter(F.col("offset") >= half).repartition(FILES), path)
     return path
 
 
 def _drain(spark, ledger: Ledger, path: str) -> str:
     checkpoint = work_dir(spark, "checkpoint")
-    run_stream(log_source.read_log(spark, path, stream=True, max_files=1), ledger, checkpoint).awaitTermination()
+    run_stream(log_source.read_log(spark, path, stream=True, max_files=FILES), ledger, checkpoint).awaitTermination()
     return checkpoint
 
 
