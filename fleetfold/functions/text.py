@@ -37,10 +37,10 @@ def payload_contains(payload: Column, needle: str) -> Column:
     return F.contains(payload, F.lit(needle.encode()))
 
 
-def pretty_payload(payload: Column) -> Column:
-    """The document re-rendered when the bytes are JSON, else the bytes as text."""
+def readable_payload(payload: Column) -> Column:
+    """The document re-rendered in one normal form when the bytes are JSON, else the bytes as text."""
     text = payload.cast("string")
-    return F.coalesce(F.to_json(F.try_parse_json(text), {"pretty": "true"}), text)
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
 def speed_band(kph: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.functions.text import error_headline, origin_label, pretty_payload, rfc3339, truncate_bytes
+from fleetfold.functions.text import error_headline, origin_label, readable_payload, rfc3339, truncate_bytes
 from fleetfold.operators.ordered import BLOCK_SECONDS, Running, evenly, running, time_block, top_per_key
 from fleetfold.schemas import DEAD_LETTERS, DLQ_ACTIONS, LOG, columns
 
@@ -144,7 +144,7 @@ def get_dead_letter(dead_letters: DataFrame, event_id: str) -> DataFrame:
 def detail(entries: DataFrame) -> DataFrame:
     """Everything about an entry, its payload rendered for reading."""
     return entries.withColumns(
-        {"payload_bytes": F.octet_length("raw_payload"), "payload_text": pretty_payload(F.col("raw_payload"))}
+        {"payload_bytes": F.octet_length("raw_payload"), "payload_text": readable_payload(F.col("raw_payload"))}
     ).drop("raw_payload")
 
 
