@@ -17,8 +17,7 @@ _DASHED = f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}"
 
 def dashed(hex32: Column) -> Column:
     """32 hex digits to the 8-4-4-4-12 form."""
-    cut = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(hex32, start, n) for start, n in cut])
+    return F.regexp_replace(hex32, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def canonical_uuid(text: Column) -> Column:
@@ -34,9 +33,13 @@ def canonical_uuid(text: Column) -> Column:
 def uuid5(namespace: str, name: Column) -> Column:
     """Name-based (SHA-1) UUID of a text column."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    hex32 = F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
-    return dashed(hex32)
+
+    def stamped(d: Column) -> Column:
+        variant = F.translate(F.substring(d, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(F.substring(d, 1, 12), F.lit("5"), F.substring(d, 14, 3), variant, F.substring(d, 18, 15))
+
+    # Through a one-element array the digest is written, and computed, once.
+    return dashed(F.transform(F.array(digest), stamped)[0])
 
 
 def position_id(topic: Column, partition: Column, offset: Column) -> Column:

@@ -95,6 +95,9 @@ def run_stream(
     """Start the job. ``available_now`` drains what is there and stops, else it keeps running."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # A stream plans its own micro-batch without adaptive execution; what follows here is a batch
+        # job over it, and wants the measured joins and skew handling of one.
+        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
         run = _run_id(batch.sparkSession, checkpoint)
         consume_batch(batch, ledger, run, batch_id, consumer_id, publish, after)
 
