@@ -183,9 +183,20 @@ def republished(entries: DataFrame) -> DataFrame:
     )
 
 
-def plan_replay(dead_letters: DataFrame, limit: int | None = None, event_id: str | None = None) -> DataFrame:
-    """Entries to replay with ``refusal`` (NULL when eligible): one by id, or the newest dead ones."""
-    rows = get_dead_letter(dead_letters, event_id) if event_id is not None else list_dead_letters(dead_letters, "dead", limit)
+def plan_replay(
+    dead_letters: DataFrame, limit: int | None = None, event_id: str | None = None, everything: bool = False
+) -> DataFrame:
+    """Entries to replay with ``refusal`` (NULL when eligible).
+
+    One by id, or the newest dead ones up to the limit, or all dead ones, which needs no order and so
+    stays spread over the cluster.
+    """
+    if event_id is not None:
+        rows = get_dead_letter(dead_letters, event_id)
+    elif everything:
+        rows = dead_letters.filter(F.col("state") == "dead")
+    else:
+        rows = list_dead_letters(dead_letters, "dead", limit)
     return rows.withColumn("refusal", replay_refusal(F.col("state"), F.col("raw_payload")))
 
 

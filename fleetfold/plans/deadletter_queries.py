@@ -149,7 +149,7 @@ def rfc3339_text(spark, sf):
 
 
 def republish(spark, sf):
-    r = dl.republished(dl.eligible(dl.plan_replay(_dead_letters(spark, sf), limit=1_000_000)))
+    r = dl.republished(dl.eligible(dl.plan_replay(_dead_letters(spark, sf), everything=True)))
     flat = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ";")
     return r.select(F.col("key").cast("string").alias("event_id"), "topic", F.translate(flat, "\n", "/").alias("headers"), (F.octet_length("value") > 0).alias("has_bytes"))
 
@@ -167,7 +167,7 @@ def replay_one(spark, sf):
 
 
 def replay_into_log(spark, sf):
-    replayed = dl.republished(dl.eligible(dl.plan_replay(_dead_letters(spark, sf), limit=1_000_000)))
+    replayed = dl.republished(dl.eligible(dl.plan_replay(_dead_letters(spark, sf), everything=True)))
     log = dl.replay_into_log(t.raw_log(spark, sf), replayed)
     return log.groupBy("topic", (F.size("headers") > 0).alias("replayed")).agg(F.count("*").alias("records"), F.count("offset").alias("positioned"))
 

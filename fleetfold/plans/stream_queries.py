@@ -81,7 +81,7 @@ def replay_stream(spark, sf):
         ends = reconcile.topic_offsets(log_source.read_log(spark, path))
         log_source.write_log(log_source.assign_positions(stamped, t.PARTITIONS, "arrival", ends), path)
 
-    replay(ledger, produce, now, "operator", limit=10_000_000)
+    replay(ledger, produce, now, "operator", everything=True)
     marked = ledger.dead_letters().groupBy("state").agg(F.count("*").alias("entries"))
     return marked.withColumn("depth", deadletters.depth(ledger.dead_letters()).scalar())
 

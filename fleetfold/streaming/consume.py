@@ -114,13 +114,14 @@ def replay(
     operator: str,
     event_id: str | None = None,
     limit: int | None = None,
+    everything: bool = False,
 ) -> DataFrame:
     """Put dead letters back on their topic, then mark them. Returns every entry with its refusal.
 
     Publish first: a crash in between republishes an event again, which the ledger absorbs; the other
     order could lose it. Ineligible entries do not stop the rest.
     """
-    plan = deadletters.plan_replay(ledger.dead_letters(), limit, event_id).persist(StorageLevel.MEMORY_AND_DISK)
+    plan = deadletters.plan_replay(ledger.dead_letters(), limit, event_id, everything).persist(StorageLevel.MEMORY_AND_DISK)
     ready = deadletters.eligible(plan)
     produce(deadletters.republished(ready))
     ledger.mark_replayed(ready, at, operator)
