@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetfold.functions import geo
-from fleetfold.functions import text
+from fleetfold.functions import geo, text
 from fleetfold.operators import routes
 from fleetfold.operators.ordered import numbered, offset_block
 from fleetfold.plans import telemetry as t

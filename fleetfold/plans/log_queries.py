@@ -11,7 +11,6 @@ from fleetfold.operators.ordered import log_block, numbered
 from fleetfold.plans import telemetry as t
 from fleetfold.session import work_dir
 from fleetfold.sources import log as log_source
-from fleetfold.sources import tables
 
 B, C, D = t.BASE_SQL, t.CLASSIFIED_SQL, t.CLASSIFIED_SQL + t.NAME_BASED_SQL
 

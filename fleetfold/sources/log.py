@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from fleetfold.operators.ordered import BLOCK_ROWS, numbered, offset_block
 from fleetfold.schemas import LOG, columns
 
-# Fixed value: records per poll of the reference configuration.
-DEFAULT_BATCH_RECORDS = 200
-
-
 def read_kafka(spark: SparkSession, servers: str, topic: str, stream: bool = False, max_offsets: int | None = None) -> DataFrame:
     """Everything still retained, from the earliest offset (a checkpoint overrides this in a stream).
 

@@ -8,8 +8,6 @@ from fleetfold.operators import ingest
 from fleetfold.operators.envelope import judge
 from tests.helpers import T0, at, event_id, log_of, position
 
-NOW = F.lit
-
 
 def submit(spark, *bodies):
     rows = [(f"b{i}", b if isinstance(b, str) else json.dumps(b)) for i, b in enumerate(bodies)]
