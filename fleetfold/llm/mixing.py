@@ -51,8 +51,8 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, cycle: tup
         }
     )
     level = summed.withColumn("_level", (F.col("_total") - F.col("_capped")) / (F.col("_weights") - F.col("_used")))
-    # The level rises as capped sources are set aside; the first source under its cap has the final one.
-    final = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything)
+    # The first source under its cap has the final level; counting it as capped lowers those that follow.
+    final = F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything)
     target = F.least(F.coalesce(final * F.col("_w"), F.col("_cap")), F.col("_cap"))
     return level.select("source", "source_size", target.alias("target"))
 
@@ -68,9 +68,10 @@ def uniform(digest: Column) -> Column:
 
 
 def _odds(rate: Column, digest: Column) -> Column:
+    """Null where nothing but whole copies is taken."""
     p = rate - F.floor(rate)
     u = uniform(digest)
-    return (u / (1.0 - u)) / (p / (1.0 - p))
+    return F.try_divide(u / (1.0 - u), p / (1.0 - p))
 
 
 def _bin(rank: Column) -> Column:
