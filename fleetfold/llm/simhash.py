@@ -123,8 +123,9 @@ def links(fps: DataFrame, radius: int = RADIUS, field: int = 2, bucket: int = BU
         found.append(gathered.mapInPandas(lambda batches: _forests(batches, radius), "a LONG, b LONG").distinct())
         if final or sizes.filter(F.col("n") > bucket).isEmpty():
             return reduce(DataFrame.unionByName, found)
-        level = keyed.join(sizes.filter(F.col("n") > bucket).drop("n"), ["path", "key"]).select("path", "fp")
-        large = {r[0] for r in sizes.filter(F.col("n") > bucket).select("path").distinct().collect()}
+        heavy = sizes.filter(F.col("n") > bucket)
+        level = stored(keyed.join(heavy.drop("n"), ["path", "key"]).select("path", "fp").distinct(), "level")
+        large = {r[0] for r in heavy.select("path").distinct().collect()}
         kept = {path: mask for path, mask in below.items() if path in large}
 
 
