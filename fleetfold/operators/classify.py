@@ -1,6 +1,6 @@
 """applied / duplicate / late / dead for every record of a log.
 
-Processing order is (partition, offset) within a batch, batches in turn. A valid row is a duplicate
+Processing order is (partition, offset, topic) within a batch, batches in turn. A valid row is a duplicate
 iff an earlier valid row (or the ledger) has its id; a non-duplicate is late iff its event time is
 not strictly newer than everything its vehicle reported before.
 
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from fleetfold.operators.ordered import BLOCK_ROWS, Running, log_block, running
 from fleetfold.schemas import OUTCOMES
 
+# Fixed value: how often a transient failure is tried again.
+MAX_RETRIES = 5
+
 POSITION_KEY = ["topic", "partition", "offset"]
 
 
@@ -41,7 +44,7 @@ def dedup_against_ledger(firsts: DataFrame, ledger_ids: DataFrame, small_batch:
 def classify_late(firsts: DataFrame, current: DataFrame | None = None, rows_per_block: int = BLOCK_ROWS) -> DataFrame:
     """Add ``late``. ``current`` (vehicle_id, last_event_ts) is the state before this batch."""
     seed = None if current is None else (current, "last_event_ts", "_newest")
-    order = [F.col("partition"), F.col("offset")]
+    order = [F.col("partition"), F.col("offset"), F.col("topic")]
     marked = running(
         firsts, ["vehicle_id"], log_block(rows_per_block), order, Running("_newest", "max_before", F.col("event_ts")), seed=seed
     )
@@ -82,22 +85,34 @@ def dead_by_reason(classified: DataFrame) -> DataFrame:
     return classified.filter(F.col("outcome") == "dead").groupBy("reason").agg(F.count("*").alias("events"))
 
 
-def committable_prefix(handled: DataFrame, rows_per_block: int = BLOCK_ROWS) -> DataFrame:
-    """Next offset to read per partition: what precedes the first record that could not be finished.
+def committable_prefix(handled: DataFrame) -> DataFrame:
+    """Next offset to read per topic and partition: what precedes the first record that could not be finished.
 
     ``handled`` has ``failed`` per record. A partition whose first record failed commits nothing and
-    has no row. Two aggregates; no record is ordered.
+    has no row. Records are counted per block of offsets before anything is joined, so the join meets
+    a row per block; only the blocks in which a partition stops are looked into again.
     """
-    stops = handled.groupBy("partition").agg(F.min(F.when(F.col("failed"), F.col("offset"))).alias("_stop"))
-    # One row per partition on the right; the left side is combined before it is shuffled.
-    done = handled.join(F.broadcast(stops), "partition") if _few_partitions(stops) else handled.join(stops, "partition")
-    return (
-        done.filter(F.col("_stop").isNull() | (F.col("offset") < F.col("_stop")))
-        .groupBy("partition")
-        .agg((F.max("offset") + 1).alias("next_offset"), F.count("*").alias("records"))
+    where = ["topic", "partition"]
+    blocks = handled.groupBy(*where, F.floor(F.col("offset") / BLOCK_ROWS).alias("_block")).agg(
+        F.min(F.when(F.col("failed"), F.col("offset"))).alias("_stop"), F.max("offset").alias("_last"), F.count("*").alias("_n")
     )
+    stops = blocks.groupBy(*where).agg(F.min("_stop").alias("_first"))
+    whole = blocks.join(stops, where).filter(F.col("_first").isNull() | (F.col("_last") < F.col("_first")))
+    cut = stops.filter(F.col("_first").isNotNull()).withColumn("_block", F.floor(F.col("_first") / BLOCK_ROWS))
+    inside = handled.select(*where, "offset", F.floor(F.col("offset") / BLOCK_ROWS).alias("_block")).join(cut, [*where, "_block"])
+    part = inside.filter(F.col("offset") < F.col("_first")).groupBy(*where).agg(F.max("offset").alias("_last"), F.count("*").alias("_n"))
+    done = whole.select(*where, "_last", "_n").unionByName(part)
+    return done.groupBy(*where).agg((F.max("_last") + 1).alias("next_offset"), F.sum("_n").alias("records"))
+
 
+def retry_budget(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """What becomes of records whose handling failed: add ``verdict`` and ``reason``.
 
-def _few_partitions(stops: DataFrame, bound: int = 100_000) -> bool:
-    """Whether the per-partition table is small enough to copy to every executor."""
-    return stops.limit(bound + 1).count() <= bound
+    ``attempts`` has per record how often it was tried and whether its last failure was ``transient``.
+    A permanent failure is refused at once; a transient one is tried again until it has been tried
+    more than ``max_retries`` times.
+    """
+    spent = F.col("transient") & (F.col("attempts") > max_retries)
+    verdict = F.when(~F.col("transient") | spent, "dead").otherwise("retry")
+    reason = F.when(~F.col("transient"), "decode").when(spent, "retries_exhausted")
+    return attempts.withColumns({"verdict": verdict, "reason": reason})

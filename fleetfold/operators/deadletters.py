@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.functions.text import error_headline, origin_label, readable_payload, rfc3339, truncate_bytes
 from fleetfold.operators.ordered import BLOCK_SECONDS, Running, evenly, running, time_block, top_per_key
-from fleetfold.schemas import DEAD_LETTERS, DLQ_ACTIONS, LOG, columns
+from fleetfold.schemas import DEAD_LETTERS, DLQ_ACTIONS, LOG, REASONS, columns
 
 STATES = ("dead", "replayed")
 DEFAULT_LIST_LIMIT = 100
@@ -20,6 +20,12 @@ HEADER_ERROR_BYTES = 200
 _FIRST = ["raw_payload", "topic", "partition", "offset"]
 
 
+def _listed(reason: Column) -> Column:
+    """A reason of the list; none at all is ``unknown``, any other text is an error of the caller."""
+    unlisted = F.raise_error(F.concat(F.lit("not a reason for a refusal: "), reason)).cast("string")
+    return F.when(F.coalesce(reason, F.lit("")) == "", "unknown").when(reason.isin(*REASONS), reason).otherwise(unlisted)
+
+
 def refusals(ledger: DataFrame) -> DataFrame:
     """Ledger rows that were refused, as actions. The action id makes equal instants orderable."""
     rows = ledger.filter(F.col("outcome") == "dead")
@@ -27,10 +33,10 @@ def refusals(ledger: DataFrame) -> DataFrame:
         "event_id",
         F.lit("refuse").alias("action"),
         F.col("processed_at").alias("action_ts"),
-        F.format_string("%010d/%020d", F.col("partition"), F.col("offset")).alias("action_id"),
+        F.format_string("%010d/%020d/%s", F.col("partition"), F.col("offset"), F.col("topic")).alias("action_id"),
         F.col("value").alias("raw_payload"),
         F.coalesce("error", F.lit("")).alias("error"),
-        F.when(F.coalesce("reason", F.lit("")) == "", "unknown").otherwise(F.col("reason")).alias("reason"),
+        _listed(F.col("reason")).alias("reason"),
         "attempts",
         "topic",
         "partition",

@@ -56,14 +56,14 @@ def reconcile_log_vs_ledger(judged: DataFrame, processed: DataFrame) -> DataFram
 
 
 def key_partition_check(log: DataFrame) -> DataFrame:
-    """Keys seen in more than one partition; empty when the order per key holds."""
-    pairs = log.groupBy("key", "partition").agg(F.count("*").alias("n"))
-    return pairs.groupBy("key").agg(F.count("*").alias("partitions"), F.sum("n").alias("records")).filter(F.col("partitions") > 1)
+    """Keys seen in more than one partition of a topic; empty when the order per key holds."""
+    pairs = log.groupBy("topic", "key", "partition").agg(F.count("*").alias("n"))
+    return pairs.groupBy("topic", "key").agg(F.count("*").alias("partitions"), F.sum("n").alias("records")).filter(F.col("partitions") > 1)
 
 
 def partitions_in_use(log: DataFrame) -> DataFrame:
-    """How many partitions hold records, and how many keys each one holds."""
-    return log.groupBy("partition", "key").agg(F.count("*").alias("n")).groupBy("partition").agg(
+    """The partitions that hold records, and how many keys each one holds."""
+    return log.groupBy("topic", "partition", "key").agg(F.count("*").alias("n")).groupBy("topic", "partition").agg(
         F.count("*").alias("keys"), F.sum("n").alias("records")
     )
 

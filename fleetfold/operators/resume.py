@@ -39,15 +39,19 @@ def resume_verdict(points: DataFrame, now: Column, window_seconds: int = DEFAULT
     return points.withColumn("verdict", verdict)
 
 
-def positions_since(hist: DataFrame, after: Column, after_id: Column, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def positions_since(hist: DataFrame, after: Column, after_id: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """One reader: history strictly after (time, id), in that order, at most ``limit`` rows.
 
+    A reader that saw nothing has no point to resume from; an empty id is refused.
+
     Written as two plain comparisons so that the whole predicate reaches the parquet scan.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
+    if not after_id:
+        raise ValueError("a reader resumes after an event; its id is empty")
     ts = F.col("event_ts")
-    newer = (ts >= after) & ((ts > after) | (F.col("event_id") > after_id))
+    newer = (ts >= after) & ((ts > after) | (F.col("event_id") > F.lit(after_id)))
     return (
         hist.filter(newer)
         .withColumn("sequence", stored_sequence(F.col("sequence")))
@@ -81,9 +85,15 @@ def resume(
     point before the limit cut it. Instead the history is numbered once; a client at position p
     wants exactly p+1 … p+limit, which is an equi-join on the position. Clients that stopped at the
     same event share their frames until the last step.
+
+    A point older than the window is a reset like an unknown one, and all that follows a younger one
+    is in the window too; so only the window is read, and the filter reaches the scan.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
+    if window_seconds > 0:
+        oldest = now.cast("timestamp") - F.make_dt_interval(secs=F.lit(window_seconds))
+        hist = hist.filter(F.col("event_ts") >= oldest.cast(hist.schema["event_ts"].dataType))
     ranked = ranked_history(hist.withColumn("sequence", stored_sequence(F.col("sequence"))), block_seconds)
     points = resume_verdict(resume_points(clients, hist), now, window_seconds)
 

@@ -38,11 +38,12 @@ def history(ledger: DataFrame) -> DataFrame:
 def current_state(hist: DataFrame) -> DataFrame:
     """Newest report per vehicle; among equal event times the one that arrived first.
 
-    Arrival order is (ingested_at, partition, offset). A hash aggregate with map-side combine finds
+    Arrival order is (ingested_at, partition, offset); history knows no topic, so the id settles what
+    two topics leave open. A hash aggregate with map-side combine finds
     the winner's position, so a hot vehicle costs one row per task.
     """
     # Negated arrival: among equal event times the earliest is the greatest.
-    rank = F.struct("event_ts", -F.unix_micros("ingested_at"), -F.col("partition"), -F.col("offset"))
+    rank = F.struct("event_ts", -F.unix_micros("ingested_at"), -F.col("partition"), -F.col("offset"), F.col("event_id"))
     kept = F.struct(*_STATE, F.col("event_ts").alias("last_event_ts"), F.col("event_id").alias("last_event_id"), F.col("ingested_at").alias("updated_at"))
     return hist.groupBy("vehicle_id").agg(F.max_by(kept, rank).alias("s")).select("vehicle_id", "s.*").select(*columns(CURRENT))
 

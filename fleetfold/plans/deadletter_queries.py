@@ -36,7 +36,7 @@ def _actions(spark, sf):
 
 
 _ACTIONS_SQL = f"""WITH {D},
-refused AS (SELECT event_id, part, off, reason, error, logged_at AS acted, printf('%010d/%020d', part, off) AS action_id FROM dead),
+refused AS (SELECT event_id, part, off, reason, error, logged_at AS acted, printf('%010d/%020d/telemetry.raw', part, off) AS action_id FROM dead),
 actions AS (
   SELECT *, 'refuse' AS action, 0 AS attempts FROM refused
   UNION ALL SELECT event_id, part, off, 'retries_exhausted', 'second failure' || chr(10) || 'with detail', acted + INTERVAL 1 DAY, action_id, 'refuse', 2 FROM refused WHERE off % 3 = 0
@@ -111,7 +111,7 @@ def get_dead_letter(spark, sf):
     """The oldest entry, looked up by its identifier."""
     dead = _dead_letters(spark, sf)
     oldest = dead.select(F.min_by("event_id", F.struct("first_failed_at", "event_id"))).scalar()
-    return _short(dead.filter(F.col("event_id") == oldest)).select("event_id", "reason", "attempts", "state")
+    return _short(dl.get_dead_letter(dead, oldest)).select("event_id", "reason", "attempts", "state")
 
 
 def recent_failures_by_topic(spark, sf):

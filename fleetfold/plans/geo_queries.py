@@ -50,8 +50,7 @@ def read_waypoints(spark, sf):
     document = F.concat(name, F.array_join(F.transform("ps", lambda p: p["p"]), ","), F.lit("]}]}"))
     path = work_dir(spark, "geometry")
     parts.select(document.alias("value")).write.text(path)
-    geometry = spark.read.schema(tables.GEOMETRY).json(path)
-    return tables.waypoints_of(geometry).withColumnRenamed("idx", "point_no")
+    return tables.read_waypoints(spark, path, lines=True).withColumnRenamed("idx", "point_no")
 
 
 def _rounded(frame, **digits):

@@ -185,7 +185,13 @@ def dead_by_reason(spark, sf):
 
 def committable_prefix(spark, sf):
     r = t.rows(spark, sf).withColumn("failed", F.col("src_id") % 4001 == 4000)
-    return classify.committable_prefix(r).withColumnRenamed("partition", "part")
+    return classify.committable_prefix(r.withColumn("topic", F.lit(t.TOPIC))).select(F.col("partition").alias("part"), "next_offset", "records")
+
+
+def retry_budget(spark, sf):
+    """Every record of the log with a number of tries; a third failed for a passing cause."""
+    r = t.rows(spark, sf).withColumns({"attempts": (F.col("src_id") % 9 + 1).cast("int"), "transient": F.col("src_id") % 3 != 0})
+    return classify.retry_budget(r).select(F.col("partition").alias("part"), F.col("offset").alias("off"), "verdict", "reason")
 
 
 _SPLIT = "(SELECT (max(off) + 1) // 2 FROM log)"
@@ -234,13 +240,13 @@ def key_partition_check(spark, sf):
 
 
 def partitions_in_use(spark, sf):
-    return reconcile.partitions_in_use(t.raw_log(spark, sf)).withColumnRenamed("partition", "part")
+    return reconcile.partitions_in_use(t.raw_log(spark, sf)).select(F.col("partition").alias("part"), "keys", "records")
 
 
 def _committed(spark, sf):
     r = t.rows(spark, sf).withColumn("failed", F.col("src_id") % 4001 == 4000)
-    done = classify.committable_prefix(r)
-    return done.select(F.lit(t.TOPIC).alias("topic"), "partition", F.col("next_offset").alias("committed"))
+    done = classify.committable_prefix(r.withColumn("topic", F.lit(t.TOPIC)))
+    return done.select("topic", "partition", F.col("next_offset").alias("committed"))
 
 
 def lag_by_partition(spark, sf):
@@ -310,6 +316,8 @@ QUERIES = {
         LEFT JOIN classified c ON o.outcome = c.outcome GROUP BY o.outcome"""),
     "dead_by_reason": (dead_by_reason, f"WITH {D} SELECT reason, count(*) AS events FROM dead GROUP BY reason"),
     "committable_prefix": (committable_prefix, f"WITH {B}, {_PREFIX_SQL} SELECT part, next_offset, records FROM done"),
+    "retry_budget": (retry_budget, f"""WITH {B} SELECT part, off, CASE WHEN src_id % 3 = 0 OR src_id % 9 + 1 > 5 THEN 'dead' ELSE 'retry' END AS verdict,
+        CASE WHEN src_id % 3 = 0 THEN 'decode' WHEN src_id % 9 + 1 > 5 THEN 'retries_exhausted' END AS reason FROM log"""),
     "dedup_against_ledger": (dedup_against_ledger, f"""WITH {C} SELECT event_id, min(part) AS part, min(off) AS off FROM log WHERE kind = 'ok' AND off >= {_SPLIT}
         AND event_id NOT IN (SELECT event_id FROM log WHERE kind = 'ok' AND off < {_SPLIT}) GROUP BY event_id"""),
     "incremental_outcomes": (incremental_outcomes, f"WITH {C} SELECT part, off, outcome FROM classified WHERE off >= {_SPLIT}"),

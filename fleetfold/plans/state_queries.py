@@ -164,7 +164,7 @@ def resume_clients(spark, sf):
 
 def positions_since(spark, sf):
     after = F.lit("2024-01-10 00:00:00").cast("timestamp")
-    found = resume.positions_since(t.history(spark, sf), after, F.lit(""), 1000)
+    found = resume.positions_since(t.history(spark, sf), after, "00000000-0000-0000-0000-000000000000", 1000)
     return found.select("event_id", "vehicle_id", "event_ts", "speed_kph", "sequence")
 
 
@@ -175,7 +175,6 @@ FRAMES_SQL = """SELECT event_id, vehicle_id, route_id, lat, lon, speed_kph, bear
 QUERIES = {
     "append_history": (append_history, HISTORY_SQL),
     "read_history": (read_history, HISTORY_SQL),
-    "upsert_current": (current_state, CURRENT_SQL),
     "current_state": (current_state, CURRENT_SQL),
     "read_current": (read_current, CURRENT_SQL),
     "record_processed": (record_processed, f"WITH {C} SELECT event_id, logged_at AS processed_at, 'batch' AS consumer_id, part, off FROM classified WHERE outcome IN ('applied', 'late')"),
@@ -203,5 +202,5 @@ QUERIES = {
         SELECT j.client_id, verdict, coalesce(frames, 0) AS frames FROM judged j LEFT JOIN counted c ON j.client_id = c.client_id"""),
     "resume_clients": (resume_clients, f"WITH {C}, {_RESUME_SQL} SELECT client_id, event_id, event_ts, frame_no FROM frames"),
     "positions_since": (positions_since, f"""WITH {C} SELECT event_id, vehicle_id, event_ts, speed_kph, sequence FROM history
-        WHERE event_ts > TIMESTAMP '2024-01-10 00:00:00' OR (event_ts = TIMESTAMP '2024-01-10 00:00:00' AND event_id > '') ORDER BY event_ts, event_id LIMIT 1000"""),
+        WHERE event_ts > TIMESTAMP '2024-01-10 00:00:00' OR (event_ts = TIMESTAMP '2024-01-10 00:00:00' AND event_id > '00000000-0000-0000-0000-000000000000') ORDER BY event_ts, event_id LIMIT 1000"""),
 }

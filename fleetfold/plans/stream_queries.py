@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetfold.operators import deadletters, reconcile, state
 from fleetfold.plans import telemetry as t
 from fleetfold.plans.state_queries import CURRENT_SQL
+from fleetfold.schemas import CURRENT
 from fleetfold.session import work_dir
 from fleetfold.sources import log as log_source
 from fleetfold.streaming.consume import replay, run_stream
@@ -29,61 +30,93 @@ def _produced(spark, sf) -> str:
     return path
 
 
-def _drain(spark, ledger: Ledger, path: str) -> str:
-    checkpoint = work_dir(spark, "checkpoint")
+def _drain(spark, ledger: Ledger, path: str, checkpoint: str | None = None) -> str:
+    """Read what is there; with no checkpoint of an earlier run, from the start."""
+    checkpoint = checkpoint or work_dir(spark, "checkpoint")
     run_stream(log_source.read_log(spark, path, stream=True, max_files=FILES), ledger, checkpoint).awaitTermination()
     return checkpoint
 
 
-def _consumed(spark, sf) -> tuple[Ledger, str]:
+def _consumed(spark, sf) -> tuple[Ledger, str, str]:
     path, ledger = _produced(spark, sf), Ledger(spark, work_dir(spark, "ledger"))
-    _drain(spark, ledger, path)
-    return ledger, path
+    return ledger, path, _drain(spark, ledger, path)
 
 
 def run_stream_query(spark, sf):
-    ledger, _ = _consumed(spark, sf)
+    ledger, *_ = _consumed(spark, sf)
     return ledger.rows().select(F.col("partition").alias("part"), F.col("offset").alias("off"), "outcome", "event_type", "vehicle_id", "event_ts")
 
 
 def stream_current(spark, sf):
-    ledger, _ = _consumed(spark, sf)
+    ledger, *_ = _consumed(spark, sf)
     return ledger.current().drop("updated_at")
 
 
 def stream_frames(spark, sf):
-    ledger, _ = _consumed(spark, sf)
+    ledger, *_ = _consumed(spark, sf)
     return state.decode_frames(ledger.frames()).withColumn("sequence", F.col("sequence").cast("bigint"))
 
 
 def rewind_stream(spark, sf):
     """The whole log read again from the start: nothing new may be applied, refusals are seen twice."""
-    ledger, path = _consumed(spark, sf)
+    ledger, path, _ = _consumed(spark, sf)
     _drain(spark, ledger, path)
     return ledger.rows().groupBy("outcome").agg(F.count("*").alias("records"), F.countDistinct("event_id").alias("events"))
 
 
+def upsert_current(spark, sf):
+    """The snapshot that the last micro-batch stored, as it lies there."""
+    ledger, *_ = _consumed(spark, sf)
+    newest = ledger._commits_in("current")[-1]
+    return spark.read.schema(CURRENT).parquet(ledger._path("current", f"commit={newest}")).drop("updated_at")
+
+
 def reconcile_stream(spark, sf):
-    """After a rewind, log and ledger still agree; the query returns what does not."""
+    """The log is read twice; what either side counts, how many copies were absorbed, and how many ids disagree."""
     from fleetfold.operators.envelope import judge
 
-    ledger, path = _consumed(spark, sf)
-    return reconcile.reconcile_log_vs_ledger(judge(log_source.read_log(spark, path)), ledger.processed())
+    ledger, path, _ = _consumed(spark, sf)
+    _drain(spark, ledger, path)
+    judged = judge(log_source.read_log(spark, path))
+    faults = reconcile.reconcile_log_vs_ledger(judged, ledger.processed()).agg(F.count("*").alias("faults"))
+    logged = judged.filter(F.col("reason").isNull()).agg(F.countDistinct("event_id").alias("in_log"))
+    handled = ledger.processed().agg(F.count("*").alias("in_ledger"))
+    absorbed = ledger.rows().agg(F.count_if(F.col("outcome") == "duplicate").alias("duplicates"))
+    one = [frame.withColumn("_k", F.lit(1)) for frame in (logged, handled, absorbed, faults)]
+    return one[0].join(one[1], "_k").join(one[2], "_k").join(one[3], "_k").drop("_k")
 
 
 def replay_stream(spark, sf):
-    """Every refusal put back on the log and marked: nothing awaits an operator any more."""
-    ledger, path = _consumed(spark, sf)
+    """Every refusal put back on the log and marked, then the log drained: what is still wrong is refused again.
+
+    An entry with an id of its own is dead once more; an undecodable one stays replayed, and its copy is a new entry.
+    """
+    ledger, path, checkpoint = _consumed(spark, sf)
     now = datetime.now(timezone.utc)
 
     def produce(records):
-        stamped = records.withColumns({"arrival": F.monotonically_increasing_id(), "timestamp": F.lit(now).cast("timestamp")})
+        # Numbered once and written, since positions are computed from a table that is read twice.
+        staged = work_dir(spark, "replayed")
+        records.withColumns({"arrival": F.monotonically_increasing_id(), "timestamp": F.lit(now).cast("timestamp")}).write.parquet(staged)
         ends = reconcile.topic_offsets(log_source.read_log(spark, path))
-        log_source.write_log(log_source.assign_positions(stamped, t.PARTITIONS, "arrival", ends), path)
+        log_source.write_log(log_source.assign_positions(spark.read.parquet(staged), t.PARTITIONS, "arrival", ends), path)
 
     replay(ledger, produce, now, "operator", everything=True)
-    marked = ledger.dead_letters().groupBy("state").agg(F.count("*").alias("entries"))
-    return marked.withColumn("depth", deadletters.depth(ledger.dead_letters()).scalar())
+    _drain(spark, ledger, path, checkpoint)
+    entries = ledger.dead_letters()
+    return entries.groupBy("state").agg(F.count("*").alias("entries")).withColumn("depth", deadletters.depth(entries).scalar())
+
+
+def stream_lag(spark, sf):
+    """How far the job is behind after half the log: its position comes from the ledger."""
+    path, ledger = work_dir(spark, "log"), Ledger(spark, work_dir(spark, "ledger"))
+    log = t.raw_log(spark, sf)
+    half = F.floor(log.select((F.max("offset") + 1) / 2).scalar())
+    log_source.write_log(log.filter(F.col("offset") < half).repartition(FILES), path)
+    _drain(spark, ledger, path)
+    log_source.write_log(log.filter(F.col("offset") >= half).repartition(FILES), path)
+    ends = reconcile.topic_offsets(log_source.read_log(spark, path))
+    return reconcile.lag_by_partition(ends, ledger.read_positions()).withColumnRenamed("partition", "part")
 
 
 QUERIES = {
@@ -94,6 +127,11 @@ QUERIES = {
     "rewind_stream": (rewind_stream, f"""WITH {C}, twice AS (SELECT outcome, event_id, kind, part, off FROM classified UNION ALL
         SELECT CASE WHEN outcome = 'dead' THEN 'dead' ELSE 'duplicate' END, event_id, kind, part, off FROM classified)
         SELECT outcome, count(*) AS records, count(DISTINCT CASE WHEN kind IN ('corrupt', 'bad_version') THEN concat(part, '/', off) ELSE event_id END) AS events FROM twice GROUP BY outcome"""),
-    "reconcile_stream": (reconcile_stream, "SELECT '' AS event_id, '' AS problem, 0 AS in_log, 0 AS in_ledger WHERE false"),
-    "replay_stream": (replay_stream, f"""WITH {C} SELECT 'replayed' AS state, count(DISTINCT CASE WHEN kind IN ('corrupt', 'bad_version') THEN concat(part, '/', off) ELSE event_id END) AS entries, 0 AS depth FROM classified WHERE outcome = 'dead'"""),
+    "upsert_current": (upsert_current, CURRENT_SQL.replace(", ingested_at AS updated_at", "")),
+    "reconcile_stream": (reconcile_stream, f"""WITH {C} SELECT count(DISTINCT event_id) FILTER (WHERE kind = 'ok') AS in_log, count(DISTINCT event_id) FILTER (WHERE kind = 'ok') AS in_ledger,
+        count(*) FILTER (WHERE outcome = 'duplicate') + count(*) FILTER (WHERE kind = 'ok') AS duplicates, 0 AS faults FROM classified"""),
+    "replay_stream": (replay_stream, f"""WITH {C}, n AS (SELECT count(DISTINCT event_id) FILTER (WHERE kind IN ('unknown_type', 'bad_lat')) AS own, count(*) FILTER (WHERE kind IN ('corrupt', 'bad_version')) AS placed FROM classified)
+        SELECT 'replayed' AS state, placed AS entries, own + placed AS depth FROM n UNION ALL SELECT 'dead', own + placed, own + placed FROM n"""),
+    "stream_lag": (stream_lag, f"""WITH {t.BASE_SQL}, half AS (SELECT (max(off) + 1) // 2 AS h FROM log)
+        SELECT 'telemetry.raw' AS topic, part, max(off) - max(off) FILTER (WHERE off < h) AS lag FROM log, half GROUP BY part"""),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetfold.operators.ordered import BLOCK_ROWS, numbered, offset_block
 from fleetfold.schemas import LOG, columns
 
+
 def read_kafka(spark: SparkSession, servers: str, topic: str, stream: bool = False, max_offsets: int | None = None) -> DataFrame:
     """Everything still retained, from the earliest offset (a checkpoint overrides this in a stream).
 
@@ -49,17 +50,18 @@ def assign_positions(
 ) -> DataFrame:
     """Partition by key (unless already given), then consecutive offsets in ``arrival`` order after what the log holds.
 
-    ``arrival`` is a unique whole number that follows produce order. Six partitions mean six groups,
+    Offsets are counted per topic and partition; records without a ``topic`` are of one topic. ``arrival`` is a unique whole number that follows produce order. Six partitions mean six groups,
     so offsets are counted in blocks of arrivals and not by one sort per partition. ``ends`` is
     ``reconcile.topic_offsets`` of the log written so far.
     """
     given = "partition" in records.columns
     placed = records if given else records.withColumn("partition", partition_of(F.col("key"), partitions))
-    rows = numbered(placed, ["partition"], offset_block(arrival, rows_per_block), [F.col(arrival)], "_n")
+    where = ["topic", "partition"] if "topic" in placed.columns else ["partition"]
+    rows = numbered(placed, where, offset_block(arrival, rows_per_block), [F.col(arrival)], "_n")
     if ends is None:
         base = F.lit(0)
     else:
-        rows = rows.join(F.broadcast(ends.select("partition", F.col("end_offset").alias("_end"))), "partition", "left")  # a row per partition
+        rows = rows.join(ends.select(*where, F.col("end_offset").alias("_end")), where, "left")
         base = F.coalesce("_end", F.lit(0))
     return rows.withColumn("offset", (F.col("_n") - 1 + base).cast("bigint")).drop("_n", "_end")
 

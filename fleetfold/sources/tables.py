@@ -32,9 +32,9 @@ def read_submissions(submissions: DataFrame, **limits: int) -> DataFrame:
     return read_elements(batch_verdict(submissions, **limits))
 
 
-def read_waypoints(spark: SparkSession, path: str) -> DataFrame:
-    """Geometry documents (one JSON document per file) -> ``route_id, idx, lat, lon``."""
-    return waypoints_of(spark.read.schema(GEOMETRY).option("multiLine", "true").json(path))
+def read_waypoints(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Geometry documents, one to a file or one to a line -> ``route_id, idx, lat, lon``."""
+    return waypoints_of(spark.read.schema(GEOMETRY).option("multiLine", str(not lines).lower()).json(path))
 
 
 def waypoints_of(geometry: DataFrame) -> DataFrame:

@@ -57,7 +57,12 @@ def consume_batch(
         ledger.write("dlq_topic", commit, refused.select("key", "value"))
         step("dlq_topic")
         stamped = outcome.withColumns(
-            {"processed_at": F.lit(processed_at).cast("timestamp"), "consumer_id": F.lit(consumer_id)}
+            {
+                "processed_at": F.lit(processed_at).cast("timestamp"),
+                "consumer_id": F.lit(consumer_id),
+                "key": F.when(F.col("outcome") == "dead", F.col("key")),
+                "value": F.when(F.col("outcome") == "dead", F.col("value")),
+            }
         )
         ledger.write("rows", commit, stamped.select(*columns(LEDGER)))
         step("rows")

@@ -3,8 +3,9 @@
 Parquet has no transaction over several tables, so the effects of a batch are not spread over
 several. Each batch writes exactly one folder ``rows/commit=C`` with every record it handled and
 what became of it; history, processed ids, versions, outcome counts and dead letters are views.
-Redoing a batch finds its commit again and overwrites the same folder with the same time, so a
-half-written batch leaves nothing behind. One writer owns a ledger.
+Redoing a batch finds its commit again and overwrites the same folder with the same time. A folder
+counts once its marker ``complete/<table>/<commit>`` is there; what a killed writer left is not read.
+Payload bytes are kept for refused records only. One writer owns a ledger.
 """
 
 from __future__ import annotations
@@ -38,14 +39,28 @@ class Ledger:
         fs, hadoop = self._fs(path)
         return fs.exists(hadoop)
 
+    def _names(self, *parts: object) -> list[str]:
+        fs, hadoop = self._fs(self._path(*parts))
+        return [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+
+    def _delete(self, *parts: object) -> None:
+        fs, hadoop = self._fs(self._path(*parts))
+        fs.delete(hadoop, True)
+
     def _commits_in(self, table: str) -> list[int]:
-        """Complete commits of a table: those whose write left its success marker."""
-        fs, hadoop = self._fs(self._path(table))
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = [n for n in names if n.startswith("commit=") and self._exists(self._path(table, n, "_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in done)
+        """Complete commits of a table: one listing of its markers, however many there are."""
+        return sorted(int(n) for n in self._names("complete", table) if n.isdigit())
+
+    def _read(self, table: str, ddl: str, commits: list[int]) -> DataFrame:
+        """Rows of exactly these complete commits; folders that a killed writer left are passed over."""
+        schema = ddl + ", commit BIGINT"
+        if not commits:
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(schema).option("basePath", self._path(table)).parquet(self._path(table))
+        wanted = F.col("commit").between(commits[0], commits[-1])
+        complete = set(commits)
+        half = [c for c in (int(n[7:]) for n in self._names(table) if n.startswith("commit=")) if commits[0] < c < commits[-1] and c not in complete]
+        return found.filter(wanted & ~F.col("commit").isin(half)) if half else found.filter(wanted)
 
     def begin(self, run_id: str, batch_id: int) -> tuple[int, datetime]:
         """The commit of a batch and its fixed processing time; the same again when it is redone."""
@@ -60,19 +75,18 @@ class Ledger:
         return commit, at
 
     def write(self, table: str, commit: int, rows: DataFrame) -> None:
+        """Write a folder, then its marker. Redoing a commit takes its marker away first."""
+        self._delete("complete", table, commit)
         rows.write.mode("overwrite").parquet(self._path(table, f"commit={commit}"))
+        fs, marker = self._fs(self._path("complete", table, commit))
+        fs.create(marker, True).close()
 
     # -- tables --------------------------------------------------------------------------------
 
     def rows(self, before: int | None = None, after: int | None = None) -> DataFrame:
         """Handled records, of commits in (after, before) when given. Prunes to those folders."""
         commits = [c for c in self._commits_in("rows") if (before is None or c < before) and (after is None or c > after)]
-        schema = LEDGER + ", commit BIGINT"
-        if not commits:
-            return self.spark.createDataFrame([], schema)
-        table = self.spark.read.schema(schema).option("basePath", self._path("rows")).parquet(self._path("rows"))
-        table = table.filter(F.col("commit") <= commits[-1])
-        return table if after is None else table.filter(F.col("commit") > after)
+        return self._read("rows", LEDGER, commits)
 
     def committed(self, commit: int) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self._path("rows", f"commit={commit}"))
@@ -97,23 +111,23 @@ class Ledger:
         """Store the state as of a commit and drop snapshots no redo can need any more."""
         self.write("current", commit, self.current(before=commit + 1))
         for old in self._commits_in("current")[:-keep]:
-            fs, hadoop = self._fs(self._path("current", f"commit={old}"))
-            fs.delete(hadoop, True)
+            self._delete("complete", "current", old)
+            self._delete("current", f"commit={old}")
 
     def frames(self) -> DataFrame:
-        if not self._commits_in("frames"):
-            return self.spark.createDataFrame([], "frame STRING, commit BIGINT")
-        return self.spark.read.schema("frame STRING, commit BIGINT").parquet(self._path("frames"))
+        return self._read("frames", "frame STRING", self._commits_in("frames"))
+
+    def read_positions(self) -> DataFrame:
+        """Next offset to read per topic and partition, for ``reconcile.lag_by_partition``."""
+        return self.rows().groupBy("topic", "partition").agg((F.max("offset") + 1).alias("committed"))
 
     # -- dead letters --------------------------------------------------------------------------
 
     def actions(self) -> DataFrame:
         """Refusals (from the rows) and replay marks (their own append-only table)."""
         refused = deadletters.refusals(self.rows())
-        path = self._path("marks")
-        if not self._exists(path):
-            return refused
-        return refused.unionByName(self.spark.read.schema(DLQ_ACTIONS).parquet(path))
+        marked = self._read("marks", DLQ_ACTIONS, self._commits_in("marks"))
+        return refused.unionByName(marked.select(*columns(DLQ_ACTIONS)))
 
     def dead_letters(self) -> DataFrame:
         return deadletters.fold(self.actions())
@@ -121,4 +135,5 @@ class Ledger:
     def mark_replayed(self, entries: DataFrame, at: datetime, operator: str) -> None:
         """Append one mark per entry; which mark wins is decided by the fold, not by a lock."""
         marks = deadletters.marks(entries, F.lit(at).cast("timestamp"), F.lit(operator))
-        marks.select(*columns(DLQ_ACTIONS)).write.mode("append").parquet(self._path("marks"))
+        commit = max([0, *self._commits_in("marks")]) + 1
+        self.write("marks", commit, marks.select(*columns(DLQ_ACTIONS)))

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from fleetfold.schemas import LOG
 
-T0 = datetime(2026, 9, 11, 10, 15, 29, tzinfo=timezone.utc)
+T0 = datetime(2027, 3, 4, 5, 6, 7, tzinfo=timezone.utc)
 
 
 def at(seconds: float) -> str:
@@ -21,7 +21,7 @@ def event_id(n: int) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, str(n)))
 
 
-def position(vehicle="v-042", route="r-7", lat=12.9716, lon=77.5946, ts=None, sequence=1841, **more):
+def position(vehicle="tram-8", route="ring", lat=-3.25, lon=40.5, ts=None, sequence=77, **more):
     return {"vehicle_id": vehicle, "route_id": route, "lat": lat, "lon": lon, "event_ts": ts or at(0), "sequence": sequence, **more}
 
 

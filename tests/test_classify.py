@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,7 +98,23 @@ def test_equals_one_record_at_a_time(spark, seed):
 
 
 def test_committable_prefix_stops_before_the_first_failure(spark):
-    rows = [(0, 0, False), (0, 1, False), (0, 2, True), (0, 3, False), (1, 5, True), (2, 7, False)]
-    df = spark.createDataFrame(rows, "partition INT, offset BIGINT, failed BOOLEAN")
-    got = {r["partition"]: (r["next_offset"], r["records"]) for r in classify.committable_prefix(df).collect()}
-    assert got == {0: (2, 2), 2: (8, 1)}
+    far = classify.BLOCK_ROWS
+    rows = [("a", 0, 0, False), ("a", 0, 1, False), ("a", 0, 2, True), ("a", 0, 3, False), ("a", 1, 5, True), ("a", 2, 7, False)]
+    rows += [("b", 0, 0, False), ("b", 1, 5, False), ("b", 2, 1, False), ("b", 2, far + 4, False), ("b", 2, far + 5, True), ("b", 2, far + 6, False)]
+    df = spark.createDataFrame(rows, "topic STRING, partition INT, offset BIGINT, failed BOOLEAN")
+    got = {(r["topic"], r["partition"]): (r["next_offset"], r["records"]) for r in classify.committable_prefix(df).collect()}
+    assert got == {("a", 0): (2, 2), ("a", 2): (8, 1), ("b", 0): (1, 1), ("b", 1): (6, 1), ("b", 2): (far + 5, 2)}
+
+
+def test_topics_that_share_positions_are_ordered(spark):
+    rows = [(e, "v", datetime(2024, 1, 1, s), 0, 7, topic) for e, s, topic in [("e1", 3, "a"), ("e2", 2, "b"), ("e3", 1, "c")]]
+    ddl = "event_id STRING, vehicle_id STRING, event_ts TIMESTAMP, partition INT, offset BIGINT, topic STRING"
+    for order in (rows, rows[::-1]):
+        late = classify.classify_late(spark.createDataFrame(order, ddl))
+        assert {r["event_id"]: r["late"] for r in late.collect()} == {"e1": False, "e2": True, "e3": True}
+
+
+def test_transient_failures_have_a_budget(spark):
+    df = spark.createDataFrame([(1, True), (5, True), (6, True), (1, False)], "attempts INT, transient BOOLEAN")
+    got = [(r["verdict"], r["reason"]) for r in classify.retry_budget(df).collect()]
+    assert got == [("retry", None), ("retry", None), ("dead", "retries_exhausted"), ("dead", "decode")]

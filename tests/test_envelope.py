@@ -18,7 +18,7 @@ def test_valid_position_is_taken_with_its_values(spark):
     payload = position(speed_kph=31.5, bearing_deg=10.25, ts="2026-09-11T10:15:29.900Z")
     row = env.judge(log_of(spark, envelope(payload=payload))).first()
     assert row["reason"] is None and row["error"] is None
-    assert (row["vehicle_id"], row["lat"], row["speed_kph"], int(row["sequence"])) == ("v-042", 12.9716, 31.5, 1841)
+    assert (row["vehicle_id"], row["lat"], row["speed_kph"], int(row["sequence"])) == ("tram-8", -3.25, 31.5, 77)
     assert row["event_ts"].microsecond == 900000
 
 
@@ -72,7 +72,7 @@ def test_malformed_payloads_keep_their_own_id(spark):
         {**base, "latitude": 1.0}, {**base, "lat": "12"}, {**base, "vehicle_id": 7}, {**base, "sequence": -1}, {**base, "sequence": 1.0},
         {**base, "sequence": "5"}, {**base, "sequence": 18446744073709551616}, {**base, "event_ts": "2026-02-30T00:00:00Z"}, [], 5, "text", json.dumps(base),
     ]
-    docs = [envelope(payload=p) for p in bad] + [json.dumps(envelope(payload=base)).replace("12.9716", "1e400")]
+    docs = [envelope(payload=p) for p in bad] + [json.dumps(envelope(payload=base)).replace("-3.25", "1e400")]
     rows = env.judge(log_of(spark, *docs)).orderBy("offset").collect()
     assert [(r["reason"], r["error_field"]) for r in rows] == [("decode", "")] * len(docs)
     assert {r["event_id"] for r in rows} == {event_id(1)}

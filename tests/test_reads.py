@@ -25,10 +25,12 @@ def history(spark, rows):
 def test_same_second_siblings_are_resumed(spark):
     hist = history(spark, [(1, 0), (2, 0), (3, 0)])
     ids = sorted(event_id(n) for n in (1, 2, 3))
-    got = resume.positions_since(hist, F.lit(T).cast("timestamp"), F.lit(ids[0])).collect()
+    got = resume.positions_since(hist, F.lit(T).cast("timestamp"), ids[0]).collect()
     assert [r["event_id"] for r in got] == ids[1:]
     with pytest.raises(ValueError):
-        resume.positions_since(hist, F.lit(T), F.lit(""), 0)
+        resume.positions_since(hist, F.lit(T), ids[0], 0)
+    with pytest.raises(ValueError):
+        resume.positions_since(hist, F.lit(T), "")
 
 
 def test_many_readers_equal_one_reader_at_a_time(spark):
@@ -106,9 +108,10 @@ def test_bearing_of_equal_points_and_north(spark):
 
 @pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [0.0, -3.5, 7.25, 7.25, 1e-9, 1e12, -1e-300], [round(random.Random(1).gauss(3, 20), 2) for _ in range(500)], [10.0 + i * 1e-7 for i in range(101)]])
 def test_nearest_rank_is_exact(spark, values):
-    def rank(p):
-        ordered = sorted(values)
-        return ordered[max(0, min(len(ordered) - 1, int(round(p / 100.0 * len(ordered))) - 1))]
+    def rank(percent):
+        """The smallest value that at least as many values reach as the share rounds to, one at least."""
+        wanted = max(1, round(len(values) * percent / 100))
+        return min(v for v in values if sum(other <= v for other in values) >= wanted)
 
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v DOUBLE")
     got = reports.nearest_rank(df, F.col("v"), {"p1": 1, "p50": 50, "p95": 95, "p99": 99}).first()

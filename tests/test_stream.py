@@ -77,6 +77,35 @@ def test_a_failing_publisher_loses_frames_only(setup):
     assert setup.outcomes() == ["applied"] and setup.ledger.frames().count() == 0
 
 
+def test_half_written_commits_are_not_read(setup):
+    setup.produce(event(1, ts=0), "{poison")
+    setup.drain()
+    setup.produce(event(2, ts=10), "{more")
+
+    def die(name):
+        if name == "rows":
+            raise RuntimeError("killed")
+
+    # A writer that died with its folders in place but no marker, then another run over the same log.
+    with pytest.raises(Exception, match="killed"):
+        setup.drain(after=die)
+    half = setup.ledger._commits_in("rows")[-1]
+    setup.ledger._delete("complete", "rows", half)
+    assert setup.ledger.history().count() == 1 and setup.ledger.dead_letters().count() == 1
+    setup.drain(setup.checkpoint + "-2")
+    assert {r["event_id"] for r in setup.ledger.history().collect()} == {event_id(1), event_id(2)}
+    assert setup.ledger.processed().count() == 2 and half not in setup.ledger._commits_in("rows")
+    assert setup.ledger.rows().filter("outcome <> 'dead' and value is not null").count() == 0
+
+
+def test_positions_are_counted_per_topic(spark):
+    rows = [("a", 0, 1), ("a", 0, 2), ("b", 0, 3)]
+    records = spark.createDataFrame(rows, "topic STRING, partition INT, arrival BIGINT")
+    ends = spark.createDataFrame([("a", 0, 5), ("b", 0, 9), ("c", 0, 1)], "topic STRING, partition INT, end_offset BIGINT")
+    placed = log_source.assign_positions(records, 1, "arrival", ends)
+    assert sorted((r["topic"], r["offset"]) for r in placed.collect()) == [("a", 5), ("a", 6), ("b", 9)]
+
+
 def test_replay_of_a_dead_letter_then_refused_again(setup):
     setup.produce(event(1, lat=999), "{poison", event(2))
     setup.drain()
@@ -97,7 +126,7 @@ def test_replay_of_a_dead_letter_then_refused_again(setup):
 
 
 def test_positions_are_consecutive_and_follow_the_key(spark):
-    keys = spark.range(500).select(F.encode(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 20).cast("string")), "UTF-8").alias("key"), (F.col("id") * 2).alias("arrival"))
+    keys = spark.range(500).select(F.lit("raw").alias("topic"), F.encode(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 20).cast("string")), "UTF-8").alias("key"), (F.col("id") * 2).alias("arrival"))
     placed = log_source.assign_positions(keys, 6, "arrival", rows_per_block=17)
     per = placed.groupBy("partition").agg(F.min("offset").alias("a"), F.max("offset").alias("z"), F.count("*").alias("n"), F.countDistinct("offset").alias("d")).collect()
     assert all(r["a"] == 0 and r["z"] == r["n"] - 1 and r["d"] == r["n"] for r in per) and len(per) > 1
