@@ -10,8 +10,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fleetfold.plans import catalog  # noqa: E402
+from fleetfold.plans import stream_queries  # noqa: E402
 from fleetfold.plans import telemetry as t  # noqa: E402
-from fleetfold.session import build_session  # noqa: E402
+from fleetfold.session import build_session, work_dir  # noqa: E402
+from fleetfold.sources import log as log_source  # noqa: E402
+from fleetfold.streaming.consume import run_stream  # noqa: E402
+from fleetfold.streaming.ledger import Ledger  # noqa: E402
 
 # Classification end to end, the state it leaves, ingest, dead letters, resume, reports, geometry.
 HEADLINE = [
@@ -21,6 +25,17 @@ HEADLINE = [
 ]
 
 
+def batch_times(spark, sf_dir: str) -> dict[str, float]:
+    """Seconds of a micro-batch, over a stream of one file to a batch."""
+    path = stream_queries._produced(spark, sf_dir)
+    source = log_source.read_log(spark, path, stream=True, max_files=1)
+    query = run_stream(source, Ledger(spark, work_dir(spark, "ledger")), work_dir(spark, "checkpoint"))
+    query.awaitTermination()
+    took = sorted(p["durationMs"]["triggerExecution"] / 1000 for p in query.recentProgress if p["numInputRows"])
+    at = lambda share: took[min(len(took) - 1, int(share * len(took)))]
+    return {"micro_batches": len(took), "micro_batch_p50_s": at(0.5), "micro_batch_p95_s": at(0.95)} if took else {}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -42,6 +57,10 @@ def main() -> None:
     for name in ("outcome_ledger", "run_stream"):
         if name in times:
             extra[f"{name}_events_per_s"] = round(records / times[name], 1)
+    if "reconcile_log_vs_ledger" in times:
+        extra["reconcile_records_per_s"] = round(records / times["reconcile_log_vs_ledger"], 1)
+    if not sys.argv[1:]:
+        extra |= batch_times(spark, sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), **extra}))
     spark.stop()
 
