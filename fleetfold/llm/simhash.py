@@ -141,9 +141,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, field: int = 2, bucke
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """Documents without those that have a near copy with a smaller id; of repeated rows one stays."""
+    """Documents without those that have a near copy with a smaller id; of repeated rows one stays.
+
+    Ids name documents here: rows that share an id go or stay together, and rows without an id, which
+    nothing can stand for, stay unless they have a near copy with one.
+    """
     chosen = near_duplicates(docs, **how)
     kept = chosen.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    names = docs.columns
     whole = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return whole.dropDuplicates(["doc_id"]).select(*names)
+    return whole.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
