@@ -40,8 +40,8 @@ MAGIC = b"HUFTOK01"
 HEADER = struct.Struct("<5Q")
 BLOCK_IDS = 1 << 20
 FILE_BYTES = 64 << 20
-SHARD_ROWS = 500_000
-CHUNKS, WORDS = 100_000, 400_000  # entries kept of chunks between blanks, and of words
+SHARD_ROWS = 20_000
+CHUNKS, WORDS = 300_000, 600_000  # entries kept of chunks between blanks, and of words
 DOCUMENTS = "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT, ids BINARY"
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
@@ -61,8 +61,14 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self._model = self._tokenizer.model
         self._chunks: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
+        # Where small ASCII letters reach the model as they are, the steps before it can be left out.
+        self._direct = all(self._whole(w) == self._plain(w) for w in ("a", "the", "word", "jumps", "quixotically", "zzyzx"))
+
+    def _whole(self, word: str) -> bytes:
+        return np.array([t.id for t in self._model.tokenize(word)], dtype=self.dtype).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -70,7 +76,7 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         found = self._words.get(word)
         if found is None:
-            found = self._plain(word)
+            found = self._whole(word) if self._direct and word.isascii() and word.isalpha() and word.islower() else self._plain(word)
             if len(self._words) < WORDS:
                 self._words[word] = found
         return found
