@@ -46,7 +46,6 @@ def shingle_hashes(words_: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words_) == 0, none).when(F.size(words_) < size, whole).otherwise(several)
 
 
-@F.pandas_udf(LongType())
 def majority(hashes: pd.Series) -> pd.Series:
     """The bits that are set in more than half of the hashes."""
 
@@ -64,7 +63,7 @@ def majority(hashes: pd.Series) -> pd.Series:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp): a 64-bit fingerprint of each text."""
     rows = fixed(docs.select("doc_id", F.col(text).alias("_text")), _words=words(ascii_lower(F.col("_text")))).drop("_text")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), majority(shingle_hashes(F.col("_words"))).alias("fp"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(majority, LongType())(shingle_hashes(F.col("_words"))).alias("fp"))
 
 
 def masks(positions: list[int], radius: int = RADIUS, field: int = 2) -> list[int]:
