@@ -137,9 +137,16 @@ def raw_text(name: str) -> Column:
 
 
 def rfc3339_to_ts(text: Column) -> Column:
-    """RFC 3339 text to a timestamp (microseconds, extra digits cut); NULL when it is not one."""
+    """RFC 3339 text to a timestamp (microseconds, extra digits cut); NULL when it is not one.
+
+    A cast takes offsets of up to 18 hours; one beyond is subtracted from the same text read as UTC.
+    """
     dotted = F.when(F.contains(text, F.lit(",")), F.translate(text, ",", ".")).otherwise(text)
-    return F.when(text.rlike(_RFC3339), dotted.try_cast("timestamp"))
+    utc = F.concat(F.substr(dotted, F.lit(1), F.length(dotted) - 6), F.lit("Z")).try_cast("timestamp")
+    offset = F.right(text, F.lit(6))
+    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int")
+    far = F.timestamp_add("MINUTE", F.when(offset.startswith("-"), minutes).otherwise(-minutes), utc)
+    return F.when(text.rlike(_RFC3339), F.coalesce(dotted.try_cast("timestamp"), F.when(offset.rlike(r"^[+-]\d\d:\d\d$"), far)))
 
 
 def is_zero_time(ts: Column) -> Column:

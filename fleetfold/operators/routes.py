@@ -58,7 +58,7 @@ def locate_on_route(offsets: DataFrame, segments: DataFrame, lengths: DataFrame,
         "route_id", "offset_id", "offset_m", "_at", F.lit(None).cast("bigint").alias("_seg"), "_loop",
         *[F.lit(None).cast("double").alias(c) for c in ["lat1", "lon1", "lat2", "lon2", "start_m", "length_m"]],
     )
-    starts = segments.join(usable, "route_id").select(
+    starts = salted_join(segments, usable, "route_id").select(
         "route_id", F.lit(None).cast("bigint").alias("offset_id"), F.lit(None).cast("double").alias("offset_m"),
         F.col("start_m").alias("_at"), F.col("idx").cast("bigint").alias("_seg"), "_loop",
         "lat1", "lon1", "lat2", "lon2", "start_m", "length_m",

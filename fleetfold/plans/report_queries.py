@@ -56,6 +56,22 @@ def histogram_latency(spark, sf):
     return h.withColumn("value_sum", F.round("value_sum", 4))
 
 
+def histogram_poll(spark, sf):
+    """Events of each minute, as a reader that polls once a minute would get them."""
+    polls = t.events(spark, sf).groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"))
+    return reports.histogram(polls, F.col("n"), reports.POLL_SIZE_BOUNDS)
+
+
+def histogram_produce(spark, sf):
+    h = reports.histogram(t.events(spark, sf), F.col("value") / 100, reports.PRODUCE_SECONDS_BOUNDS)
+    return h.withColumn("value_sum", F.round("value_sum", 4))
+
+
+def histogram_publish(spark, sf):
+    h = reports.histogram(t.events(spark, sf), F.col("value") / 10000, reports.PUBLISH_SECONDS_BOUNDS)
+    return h.withColumn("value_sum", F.round("value_sum", 4))
+
+
 def histogram_replay(spark, sf):
     per_reader = t.events(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"))
     return reports.histogram(per_reader, F.col("n"), reports.REPLAY_SIZE_BOUNDS)
@@ -91,6 +107,9 @@ QUERIES = {
           (SELECT max(frames) FROM a WHERE k = {_rank(50)}) AS p50_frames, (SELECT round(max(first_s), 3) FROM b WHERE k = {_rank(50)}) AS first_p50_s,
           (SELECT round(max(first_s), 3) FROM b WHERE k = {_rank(95)}) AS first_p95_s"""),
     "histogram_latency": (histogram_latency, _histogram_sql("WITH v AS (SELECT value / 1000 AS x FROM events)", "x", reports.TX_SECONDS_BOUNDS, "round(sum(x), 4)")),
+    "histogram_poll": (histogram_poll, _histogram_sql("WITH v AS (SELECT count(*) AS n FROM events GROUP BY date_trunc('minute', ts))", "n", reports.POLL_SIZE_BOUNDS, "sum(n)::BIGINT")),
+    "histogram_produce": (histogram_produce, _histogram_sql("WITH v AS (SELECT value / 100 AS x FROM events)", "x", reports.PRODUCE_SECONDS_BOUNDS, "round(sum(x), 4)")),
+    "histogram_publish": (histogram_publish, _histogram_sql("WITH v AS (SELECT value / 10000 AS x FROM events)", "x", reports.PUBLISH_SECONDS_BOUNDS, "round(sum(x), 4)")),
     "histogram_replay": (histogram_replay, _histogram_sql("WITH v AS (SELECT count(*) AS n FROM events GROUP BY user_id)", "n", reports.REPLAY_SIZE_BOUNDS, "sum(n)::BIGINT")),
     "interval_rate": (interval_rate, """SELECT time_bucket(INTERVAL 5 SECONDS, ts) AS interval_start, count(*) AS events, floor(count(*) / CAST(5 AS DOUBLE) * 10 + 0.5) / 10 AS per_second FROM events GROUP BY ALL"""),
 }

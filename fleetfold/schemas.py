@@ -7,8 +7,6 @@ LOG = (
     "headers ARRAY<STRUCT<key: STRING, value: BINARY>>"
 )
 
-SUBMISSIONS = "batch_id STRING, body STRING"
-
 HISTORY = (
     "event_id STRING, vehicle_id STRING, route_id STRING, lat DOUBLE, lon DOUBLE, speed_kph FLOAT, "
     "bearing_deg FLOAT, event_ts TIMESTAMP, produced_at TIMESTAMP, ingested_at TIMESTAMP, "
@@ -33,11 +31,6 @@ DLQ_ACTIONS = (
     "error STRING, reason STRING, attempts INT, topic STRING, partition INT, offset BIGINT"
 )
 
-FRAMES = (
-    "event_id STRING, vehicle_id STRING, route_id STRING, lat DOUBLE, lon DOUBLE, speed_kph DOUBLE, "
-    "bearing_deg DOUBLE, event_ts TIMESTAMP, sequence DECIMAL(20,0)"
-)
-
 # One row per log record that was handled; every other table is a view of it.
 LEDGER = (
     "topic STRING, partition INT, offset BIGINT, key BINARY, value BINARY, event_id STRING, "

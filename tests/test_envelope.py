@@ -128,3 +128,11 @@ def test_accepted_rows_round_trip_through_the_wire_form(spark):
     back = env.judge(again.select(*log_of(spark, docs[0]).columns))
     assert sorted(back.select(*columns).collect()) == sorted(taken.select(*columns).collect())
     assert "speed_kph" not in again.filter("vehicle_id = 'v1'").first()["value"].decode()
+
+
+def test_offsets_beyond_eighteen_hours(spark):
+    from fleetfold.functions.fields import rfc3339_to_ts
+
+    texts = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.5+23:59", "2024-01-02T03:04:05-19:30", "2024-02-30T03:04:05+19:00", "2024-01-02T03:04:05+24:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").select(rfc3339_to_ts(F.col("t")).cast("string").alias("at"))
+    assert [r["at"] for r in df.collect()] == ["2024-01-02 03:04:05", "2024-01-01 03:05:05.5", "2024-01-02 22:34:05", None, None]
