@@ -41,7 +41,7 @@ HEADER = struct.Struct("<5Q")
 BLOCK_IDS = 1 << 20
 FILE_BYTES = 64 << 20
 SHARD_ROWS = 20_000
-CHUNKS, WORDS = 300_000, 600_000  # entries kept of chunks between blanks, and of words
+CHUNKS, WORDS = 150_000, 400_000  # entries kept of chunks between blanks, and of words
 DOCUMENTS = "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT, ids BINARY"
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 

@@ -24,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfold.llm.common import stored, wide_enough
 
 SAMPLE, FOLDS, FEATURES = 6_000, 4, 1_200
+SEEN = 3  # sampled documents that must have a feature for a fit to see it
 STEMS = (4, 5, 6)
-THRESHOLD = 0.5
+LOWEST, HIGHEST = 0.1, 0.5  # between these the threshold is chosen
 WORDS = re.compile(r"[^\W\d_]+")
 _MODEL = "fold INT, kind STRING, name STRING, value DOUBLE"
 
@@ -52,7 +54,13 @@ def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], si
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     words = F.pandas_udf(lambda s: s.map(lambda t: sorted(features(t))), "array<string>")
-    return texts.select(F.col("doc_id").alias("row"), fold.alias("fold"), F.array(*categories).alias("y"), words("text").alias("words"))
+    rows = stored(texts.select(F.col("doc_id").alias("row"), fold.alias("fold"), F.array(*categories).alias("y"), words("text").alias("words")), "words")
+    # Most words of a text are in no other; they can teach nothing and would fill the fits' memory.
+    each = rows.select("row", F.explode("words").alias("word"))
+    common = each.groupBy("word").agg(F.count("*").alias("_n")).filter(F.col("_n") >= SEEN).select("word")
+    shared = each.join(common, "word").groupBy("row").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    none = F.array().cast("array<string>")
+    return rows.drop("words").join(shared, "row", "left").withColumn("words", F.coalesce("words", none))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 150) -> np.ndarray:
@@ -78,77 +86,101 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 150) -
     return w
 
 
-def _select(words: list, y: np.ndarray) -> list[str]:
-    """The features that differ most between the classes, by the signed root of their chi-square."""
-    counts: dict[str, list[int]] = {}
-    for own, positive in zip(words, y > 0):
-        for w in own:
-            counts.setdefault(w, [0, 0])[int(positive)] += 1
-    n1 = max(1, int((y > 0).sum()))
-    n0 = max(1, len(y) - n1)
-    names = sorted(w for w, (a, b) in counts.items() if a + b > 1)
-    seen = np.array([counts[w] for w in names], dtype=float).reshape(-1, 2)
-    expected = seen.sum(axis=1) * n1 / (n0 + n1)
-    score = np.abs(seen[:, 1] - expected) / np.sqrt(expected + 1)
-    return [names[i] for i in np.sort(np.argsort(-score, kind="stable")[:FEATURES])]
-
-
-def _matrix(words: list, names: list[str], earlier: np.ndarray) -> np.ndarray:
-    column = {w: i for i, w in enumerate(names)}
-    x = np.zeros((len(words), len(names) + earlier.shape[1]), np.float32)
-    for r, own in enumerate(words):
-        x[r, [column[w] for w in own if w in column]] = 1
-    x[:, len(names) :] = earlier
+def _select(codes: np.ndarray, row: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """The features, as codes, that differ most between the classes, by the signed root of their chi-square."""
+    seen = np.bincount(codes, minlength=size)
+    positive = np.bincount(codes, y[row] > 0, minlength=size)
+    expected = seen * max(1, int((y > 0).sum())) / max(1, len(y))
+    score = np.where(seen > 1, np.abs(positive - expected) / np.sqrt(expected + 1), -1)
+    best = np.argsort(-score, kind="stable")[:FEATURES]
+    return np.sort(best[score[best] >= 0])
+
+
+def _matrix(codes: np.ndarray, row: np.ndarray, chosen: np.ndarray, earlier: np.ndarray, size: int) -> np.ndarray:
+    column = np.full(size, -1)
+    column[chosen] = np.arange(len(chosen))
+    at = column[codes]
+    x = np.zeros((len(earlier), len(chosen) + earlier.shape[1]), np.float32)
+    x[row[at >= 0], at[at >= 0]] = 1
+    x[:, len(chosen) :] = earlier
     return x
 
 
 def _train(category: int, names: list[str]):
-    """For one fold: fit on the other folds and predict it; fold -1 fits on all rows and keeps the model."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fold = int(key[0])
-        rows = rows.sort_values("row", kind="stable")
-        y = np.array([v[category] for v in rows["y"]])
-        earlier = np.array(rows["earlier"].to_list(), dtype=np.float32).reshape(len(rows), category)
-        held = (rows["own_fold"] == fold).to_numpy()
+    """For one fold: fit on the other folds and predict it; fold -1 fits on all rows and keeps the model.
+
+    Words stay in Arrow and are counted by their place in a dictionary, so a fit holds numbers, not texts.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        fold = key[0].as_py()
+        rows = rows.sort_by("row").combine_chunks()
+        y = np.array([v[category] for v in rows["y"].to_pylist()])
+        earlier = np.array(rows["earlier"].to_pylist(), dtype=np.float32).reshape(len(rows), category)
+        held = rows["own_fold"].to_numpy() == fold
+        lists = rows["words"].chunk(0) if rows["words"].num_chunks else pa.array([], pa.list_(pa.string()))
+        # In order of the words, so that ties between features do not depend on how rows arrived.
+        words = lists.flatten().dictionary_encode()
+        vocabulary = words.dictionary
+        place = np.argsort(np.argsort(np.array(vocabulary.to_pylist(), dtype=object), kind="stable"), kind="stable")
+        codes = place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
         train = ~held
         if len(set(y[train] > 0)) < 2:
-            chosen, weights = [], np.zeros(category + 1, np.float32)
+            chosen, weights = np.zeros(0, np.int64), np.zeros(category + 1, np.float32)
             weights[-1] = 30.0 if train.any() and y[train].min() > 0 else -30.0
         else:
-            words = rows["words"].to_list()
-            fitted = [w for w, t in zip(words, train) if t]
-            chosen = _select(fitted, y[train])
-            weights = _fit(_matrix(fitted, chosen, earlier[train]), y[train])
+            seen = train[row]
+            number = np.cumsum(train) - 1
+            chosen = _select(codes[seen], number[row[seen]], y[train], len(vocabulary))
+            weights = _fit(_matrix(codes[seen], number[row[seen]], chosen, earlier[train], len(vocabulary)), y[train])
         if fold < 0:
-            labels = [*chosen, *[f"\0{n}" for n in names[:category]], ""]
-            return pd.DataFrame({"fold": -1, "kind": "weight", "name": labels, "value": weights.astype(float)})
-        words = [w for w, h in zip(rows["words"], held) if h]
-        x = _matrix(words, chosen, earlier[held])
+            own = np.argsort(place)[chosen] if len(chosen) else []
+            labels = [*vocabulary.take(pa.array(own, pa.int64())).to_pylist(), *[f"\0{n}" for n in names[:category]], ""]
+            return pa.table({"fold": pa.array([-1] * len(labels), pa.int32()), "kind": ["weight"] * len(labels), "name": labels, "value": weights.astype(float)})
+        seen, number = held[row], np.cumsum(held) - 1
+        x = _matrix(codes[seen], number[row[seen]], chosen, earlier[held], len(vocabulary))
         p = 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))
-        return pd.DataFrame({"fold": fold, "kind": "probability", "name": [str(r) for r in rows["row"][held]], "value": p.astype(float)})
+        ids = [str(r) for r in rows["row"].to_numpy()[held]]
+        return pa.table({"fold": pa.array([fold] * len(ids), pa.int32()), "kind": pa.array(["probability"] * len(ids), pa.string()), "name": pa.array(ids, pa.string()), "value": p.astype(float)})
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], size: int = SAMPLE) -> list[dict[str, float]]:
-    """Models of the chain in order: weights by feature, by "\\0category" for earlier ones, "" the constant.
+def choose_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Middle of the gap in out-of-fold probabilities at which F1 is largest, within the bounds."""
+    if not (y > 0).any() or (y > 0).all():
+        return HIGHEST
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order] > 0)
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + (y > 0).sum())
+    at = int(np.argmax(f1))
+    below = p[order[at + 1]] if at + 1 < len(p) else 0.0
+    return float(np.clip((p[order[at]] + below) / 2, LOWEST, HIGHEST))
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], size: int = SAMPLE) -> tuple[list[dict[str, float]], dict[str, float]]:
+    """(models, thresholds). Models of the chain in order: weights by feature, by "\\0category" for earlier ones, "" the constant.
 
     ``categories``: name -> column over ``labels``, in the order of the chain.
     """
     spark, names = docs.sparkSession, list(categories)
     rows = stored(sample(docs, labels, categories, size), "sample")
     earlier = rows.select("row", F.array().cast("array<double>").alias("earlier"))
-    chain = []
+    chain, thresholds = [], {}
     for category in range(len(names)):
         ready = rows.withColumnRenamed("fold", "own_fold").join(earlier, "row")
         spread = ready.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(-1, FOLDS)])))
-        out = spread.groupBy("fold").applyInPandas(_train(category, names), _MODEL)
+        out = spread.groupBy("fold").applyInArrow(_train(category, names), _MODEL)
         found = [(r.kind, r.name, r.value) for r in stored(out, "chain").collect()]
         chain.append({name: value for kind, name, value in found if kind == "weight"} or {"": -30.0})
-        fresh = spark.createDataFrame([(int(n), v) for k, n, v in found if k == "probability"], "row LONG, p DOUBLE")
+        unseen = {int(n): v for k, n, v in found if k == "probability"}
+        truth = {r.row: r.y[category] for r in rows.select("row", "y").collect()}
+        ids = sorted(unseen)
+        thresholds[names[category]] = choose_threshold(np.array([unseen[i] for i in ids]), np.array([truth[i] for i in ids]))
+        fresh = spark.createDataFrame(list(unseen.items()), "row LONG, p DOUBLE")
         earlier = earlier.join(fresh, "row").select("row", F.concat("earlier", F.array("p")).alias("earlier"))
-    return chain
+    return chain, thresholds
 
 
 def score(docs: DataFrame, chain: list[dict[str, float]], names: list[str], text: str = "text") -> DataFrame:
@@ -187,11 +219,16 @@ def score(docs: DataFrame, chain: list[dict[str, float]], names: list[str], text
     return scored.select(*kept, *[F.get("_p", i).alias(f"p_{n}") for i, n in enumerate(names)])
 
 
-def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], verdict: str, threshold: float = THRESHOLD, size: int = SAMPLE) -> DataFrame:
-    """Add p_<category> for each category and ``toxic``: whether that of ``verdict`` reaches the threshold."""
+def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], verdict: str, threshold: float | None = None, size: int = SAMPLE) -> DataFrame:
+    """Add p_<category> for each category and ``toxic``: whether that of ``verdict`` reaches the threshold.
+
+    Unless one is given, the threshold is the one that parts the sampled rows best by probabilities of
+    models that had not seen them.
+    """
     names = list(categories)
-    scored = score(docs, train(docs, labels, categories, size), names)
-    return scored.withColumn("toxic", F.col(f"p_{verdict}") >= threshold)
+    chain, chosen = train(docs, labels, categories, size)
+    scored = score(docs, chain, names)
+    return scored.withColumn("toxic", F.col(f"p_{verdict}") >= (chosen[verdict] if threshold is None else threshold))
 
 
 def given_categories() -> dict[str, Column]:

@@ -401,12 +401,24 @@ def test_toxicity_chain(spark):
 
 
 def test_out_of_fold_rows_are_unseen():
-    import pandas as pd
+    import pyarrow as pa
 
-    rows = pd.DataFrame({"row": range(40), "own_fold": [i % 4 for i in range(40)], "y": [[float(i % 2)] for i in range(40)],
-                         "words": [[f"w{i}", "odd" if i % 2 else "even"] for i in range(40)], "earlier": [[] for _ in range(40)]})
-    out = toxicity._train(0, ["a"])((1,), rows)
+    rows = pa.table({
+        "row": range(40), "own_fold": pa.array([i % 4 for i in range(40)], pa.int32()), "y": [[float(i % 2)] for i in range(40)],
+        "words": [[f"w{i}", "odd" if i % 2 else "even"] for i in range(40)], "earlier": pa.array([[] for _ in range(40)], pa.list_(pa.float64())),
+    })
+    out = toxicity._train(0, ["a"])((pa.scalar(1),), rows).to_pydict()
     assert set(out["name"]) == {str(i) for i in range(40) if i % 4 == 1} and set(out["kind"]) == {"probability"}
+    assert all((v > 0.5) == (int(n) % 2 == 1) for n, v in zip(out["name"], out["value"]))
+    model = toxicity._train(0, ["a"])((pa.scalar(-1),), rows).to_pydict()
+    weights = dict(zip(model["name"], model["value"]))
+    assert weights["odd"] > 0 > weights["even"]
+
+
+def test_threshold_lies_in_the_gap():
+    p, y = np.array([0.9, 0.6, 0.3, 0.25, 0.02]), np.array([1, 1, 1, 0, 0])
+    assert toxicity.choose_threshold(p, y) == pytest.approx(0.275)
+    assert toxicity.choose_threshold(p, np.zeros(5)) == toxicity.HIGHEST
 
 
 def test_languages(spark):
