@@ -34,7 +34,7 @@ from fleetfold.llm.files import borders, read_files, shard_of, write_sharded
 
 MIN_BYTES = 1000
 FILE_BYTES = 64 << 20
-SHARD_ROWS = 200_000
+SHARD_ROWS = 10_000
 # No clock takes part: the time of a record is that of the crawl if known, else this.
 DATE = "1970-01-01T00:00:00Z"
 RECORDS = "page_id BIGINT, url STRING, payload_bytes BIGINT, payload_digest STRING, record_type STRING, refers_to BIGINT, payload BINARY"
