@@ -13,8 +13,9 @@ number is within ``BROADCAST_SEEDS`` and shuffled otherwise; a seed that very ma
 row per item that has it. Pairs are counted per document and item with map-side combining.
 
 Null, empty and wordless texts match nothing; items of fewer than ``MATCH`` words cannot be tested and
-match nothing. Null ids of documents are compared like any other; repeated rows give one result per id
-and item, with the largest coverage. Other columns are ignored; empty tables give an empty result.
+match nothing. Null ids of documents and items are compared like any other. Rows that share an item_id
+but not the text are items of their own until the end; repeated rows give one result per id and item,
+with the largest coverage. Other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -56,22 +57,22 @@ def seeds(rows: DataFrame, key: str, match: int = MATCH) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """Pairs (doc_id, item_id) that share as many seeds as coverage needs.
+    """Pairs (doc_id, item) that share as many seeds as coverage needs. ``items``: item, text; item is unique.
 
     A tile of L >= m words starts L - m + 1 runs of m words, which is at least L / m, so tiles that
     cover c words start at least c / m. Runs that the item repeats are one seed, so as many as it
     repeats are taken off.
     """
-    known = seeds(items, "item_id", match)
-    spread = known.groupBy("item_id").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n_seeds"))
+    known = seeds(items, "item", match)
+    spread = known.groupBy("item").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n_seeds"))
     least = F.ceil(F.col("n_words") * F.lit(coverage) / match) - (F.col("n_words") - (match - 1) - F.col("n_seeds"))
-    needed = spread.select("item_id", F.greatest(least, F.lit(1)).cast("long").alias("_least"))
-    table = stored(known.join(needed, "item_id").select("seed", "item_id", "_least"), "seeds")
+    needed = spread.select("item", F.greatest(least, F.lit(1)).cast("long").alias("_least"))
+    table = stored(known.join(needed, "item").select("seed", "item", "_least"), "seeds")
     if table.count() <= BROADCAST_SEEDS:
         table = F.broadcast(table)
     hits = seeds(docs, "doc_id", match).select("doc_id", "seed").join(table, "seed")
-    shared = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("_n"), F.first("_least").alias("_least"))
-    return shared.filter(F.col("_n") >= F.col("_least")).select("doc_id", "item_id")
+    shared = hits.groupBy("doc_id", "item").agg(F.count("*").alias("_n"), F.first("_least").alias("_least"))
+    return shared.filter(F.col("_n") >= F.col("_least")).select("doc_id", "item")
 
 
 def _numbers(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -135,8 +136,9 @@ def tile(item: np.ndarray, doc: np.ndarray, match: int = MATCH) -> list[tuple[in
 
 
 def tiled(docs: DataFrame, items: DataFrame, pairs: DataFrame, match: int = MATCH) -> DataFrame:
-    """Tile every pair: one row (``TILED``) per pair."""
-    texts = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").withColumnRenamed("doc_id", "_pair")
+    """Tile every pair (doc_id, item): one row (``TILED``) per pair. ``items``: item, item_id, text."""
+    wanted = items.select(F.col("item").alias("_item"), "item_id", F.col("text").alias("_text"))
+    texts = pairs.join(wanted, F.col("item") == F.col("_item")).select(F.col("doc_id").alias("_pair"), "item_id", F.col("_text").alias("item"))
     both = texts.join(docs.select("doc_id", "text"), F.col("_pair").eqNullSafe(F.col("doc_id"))).select("doc_id", "item_id", "item", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,9 @@ _ROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage",
 def contaminated(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and an item whose words it covers to the threshold, with the coverage."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    # Rows are told apart by id and text; a digest stays the same when a task is repeated.
+    key = F.sha2(F.concat_ws("/", F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit(""), "text"), 256)
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct().withColumn("item", key)
     pairs = stored(candidates(docs, items, match, coverage), "candidates")
     found = tiled(docs, items, pairs, match).filter(F.col("coverage") >= coverage)
     best = F.max(F.struct("coverage", F.negative("n_tiles").alias("fewest"), "longest_tile")).alias("best")
