@@ -16,6 +16,7 @@ columns pass through, and names of results replace columns of the same name.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,15 +37,14 @@ _MODEL = "lang STRING, number INT, centroid ARRAY<FLOAT>, radius DOUBLE"
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For each code point of the base plane: itself if it is a letter, else 0. Others count as letters."""
-    return np.array([c if chr(c).isalpha() else 0 for c in range(1 << 16)], dtype=np.uint32)
+    """For each code point: itself if it is a letter, else 0."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(sys.maxunicode + 1)], dtype=np.uint32)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """(columns, counts) of a text's n-grams; None if it has no letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    base = points < 1 << 16
-    letters = np.where(base, _letters()[np.where(base, points, 0)], points)
+    letters = _letters()[points]
     if not letters.any():
         return None
     padded = np.concatenate([[0], letters, [0]]).astype(np.uint32)
