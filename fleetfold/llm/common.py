@@ -82,3 +82,22 @@ def wide_enough(rows: DataFrame) -> DataFrame:
     """Deal rows out to every core before per-row work of many seconds, if they come in fewer splits."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def text_key(text: Column) -> Column:
+    """What equal texts share; null is the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def first_rows(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of each component of texts: that with the smallest doc_id, nulls last, then the least text key.
+
+    ``roots``: (node, root) of the text keys that are not alone. Rows that share an id are decided apart.
+    """
+    named = docs.withColumn("_node", text_key(F.col("text")))
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").cast("long").alias("_id"), F.col("_node"))
+    best = stored(named.groupBy("_node").agg(F.min(order).alias("_best")), "best")
+    ids = best.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    kept = stored(ids.groupBy("root").agg(F.min("_best").alias("_best")).select("_best._node", "_best._id"), "kept")
+    keep = (named["_node"] == kept["_node"]) & named["doc_id"].cast("long").eqNullSafe(kept["_id"])
+    return named.join(kept, keep, "left_semi").dropDuplicates(["_node", "doc_id"]).select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from fleetfold.llm.common import ascii_lower, fixed, stored, words
+from fleetfold.llm.common import ascii_lower, first_rows, fixed, stored, text_key, words
 from fleetfold.llm.components import components
 
 BITS, RADIUS, SHINGLE, BUCKET = 64, 3, 3, 4096
@@ -139,13 +139,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, field: int = 2, bucke
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, **how) -> DataFrame:
-    """Documents without those that have a near copy with a smaller id; of repeated rows one stays.
+def representatives(docs: DataFrame, radius: int = RADIUS, field: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """One row of each component: that with the smallest doc_id, nulls last, then the least text key.
 
-    Ids name documents here: rows that share an id go or stay together, and rows without an id, which
-    nothing can stand for, stay unless they have a near copy with one.
+    Every row is decided by its own text, whether it has an id or shares one.
     """
-    chosen = near_duplicates(docs, **how)
-    kept = chosen.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    whole = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return whole.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    texts = docs.groupBy(text_key(F.col("text")).alias("doc_id")).agg(F.min("text").alias("text"))
+    prints = stored(fingerprints(texts), "fingerprints")
+    roots = components(links(prints.select("fp").distinct(), radius, field, bucket)).withColumnRenamed("node", "fp")
+    placed = prints.join(roots, "fp", "left")
+    return first_rows(docs, placed.select(F.col("doc_id").alias("node"), F.coalesce("root", "fp").alias("root")))

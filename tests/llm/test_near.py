@@ -4,7 +4,9 @@ import itertools
 import random
 
 import corpus_pipeline
-from fleetfold.llm import near
+import pytest
+
+from fleetfold.llm import near, simhash
 
 SCHEMA = "doc_id LONG, text STRING, source STRING"
 
@@ -67,3 +69,16 @@ def test_copies_that_their_first_does_not_match_are_found(spark):
     want = {min(rows[i][0] for i, r in enumerate(root) if r == c) for c in set(root)}
     assert {r.doc_id for r in near.representatives(docs).collect()} == want
     assert near.representatives(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("way", [near, simhash])
+def test_rows_without_an_id_or_with_a_shared_one_are_decided_apart(spark, way):
+    rng = random.Random(2)
+    one, two, three, four = ([f"w{rng.randrange(10**6)}" for _ in range(600)] for _ in range(4))
+    joined = lambda w, end="": " ".join(w) + end
+    rows = [
+        (None, "alone"), (7, joined(one)), (None, joined(one)), (None, joined(one, " x")),
+        (None, joined(two)), (None, joined(two, " x")), (None, joined(two, " x")), (8, joined(three)), (8, joined(four)), (9, joined(four, " x")), (9, joined(four, " x")),
+    ]
+    got = [(r.doc_id, r.text.split()[0]) for r in way.representatives(spark.createDataFrame([(*r, "a") for r in rows], SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted([(None, "alone"), (7, one[0]), (None, two[0]), (8, three[0]), (8, four[0])], key=str)
