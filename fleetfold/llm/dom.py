@@ -1,7 +1,8 @@
 """A small HTML reader: block-level nodes of a page with their text, tolerant of what real pages do.
 
 Inline elements belong to the block they stand in. Text is kept as pieces in page order, each with the
-node it belongs to; None marks a border between blocks.
+node it belongs to; None marks a border between blocks. Formulas are inline text (without their annotations),
+the fallback of an object is a block like any other, and xmp is a block whose text holds no markup.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from dataclasses import dataclass, field
 
 # The elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg".split())
-HIDDEN = frozenset("head select button object datalist math".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes template svg annotation annotation-xml".split())
+HIDDEN = frozenset("head select button datalist".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
-    "sub sup time tt u var wbr img br input".split()
+    "sub sup time tt u var wbr img br input "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose maction "
+    "msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd".split()
 )
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div section article main aside nav header footer form table ul ol dl tr td th blockquote figure details".split())
@@ -63,24 +66,25 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
             hidden -= tag in HIDDEN
         del stack[position:]
 
+    def say(text: str) -> None:
+        own = stack[-1][1]
+        solid = len(text.split())
+        if solid:
+            node = nodes[own]
+            length = len(text)
+            node.own += length
+            node.words += solid
+            node.linked += length if links else 0
+            node.stops += text.count(".") + text.count("!") + text.count("?") + text.count(",")
+        pieces.append((own, text))
+
     size = len(page)
     while at < size:
         found = _TAG.search(page, at)
         end = found.start() if found else size
         if end > at and not hidden:
             text = page[at:end]
-            if "&" in text:
-                text = html.unescape(text)
-            solid = len(text.split())
-            own = stack[-1][1]
-            if solid:
-                node = nodes[own]
-                length = len(text)
-                node.own += length
-                node.words += solid
-                node.linked += length if links else 0
-                node.stops += text.count(".") + text.count("!") + text.count("?") + text.count(",")
-            pieces.append((own, text))
+            say(html.unescape(text) if "&" in text else text)
         if not found:
             break
         at = found.end()
@@ -136,6 +140,13 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
         nodes[parent].children.append(len(nodes) - 1)
         stack.append((tag, len(nodes) - 1))
         pieces.append(None)
+        if tag == "xmp":  # its text is neither markup nor escaped
+            close = re.compile(r"</xmp\s*/?>", re.I).search(page, at)
+            if not hidden:
+                say(page[at : close.start() if close else size])
+            at = close.end() if close else size
+            leave(len(stack) - 1)
+            pieces.append(None)
     return nodes, pieces
 
 
