@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfold.llm import chat, decontaminate, extraction, language, mixing, quality, simhash, tokens, toxicity, warc, whitening
+from fleetfold.llm import chat, decontaminate, extraction, language, mixing, periodic, quality, simhash, tokens, toxicity, warc, whitening
 from fleetfold.llm.common import table
 from fleetfold.session import work_dir
 
@@ -160,6 +160,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id
 """
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summaries(table(spark, sf_dir, "documents"), periodic.planted)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -175,6 +179,7 @@ QUERIES = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_quality": (op9_quality, OP9_SQL),
     "op10_chat": (op10_chat, OP10_SQL),
+    "op11_periodic": (op11_periodic, None),
     "op13_whitening": (op13_whitening, None),
 }
 
