@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfold.llm import chat, decontaminate, extraction, language, mixing, periodic, quality, simhash, tokens, toxicity, warc, whitening
+from fleetfold.llm import chat, decontaminate, extraction, language, mixing, periodic, pii, quality, simhash, tokens, toxicity, warc, whitening
 from fleetfold.llm.common import table
 from fleetfold.session import work_dir
 
@@ -164,6 +164,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.summaries(table(spark, sf_dir, "documents"), periodic.planted)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -180,6 +184,7 @@ QUERIES = {
     "op9_quality": (op9_quality, OP9_SQL),
     "op10_chat": (op10_chat, OP10_SQL),
     "op11_periodic": (op11_periodic, None),
+    "op12_pii": (op12_pii, None),
     "op13_whitening": (op13_whitening, None),
 }
 
