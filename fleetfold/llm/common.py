@@ -75,7 +75,18 @@ def stored(rows: DataFrame, purpose: str, compression: str = "zstd") -> DataFram
     """Write rows to the shared work folder and read them again: computed once, safe to reread."""
     path = work_dir(rows.sparkSession, purpose)
     rows.write.option("compression", compression).parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    found = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` wrote, once everything computed from them is stored in its turn."""
+    for rows in tables:
+        if rows is not None and getattr(rows, "_stored_at", None):
+            spark = rows.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(rows._stored_at)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def wide_enough(rows: DataFrame) -> DataFrame:
@@ -92,12 +103,13 @@ def text_key(text: Column) -> Column:
 def first_rows(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """One row of each component of texts: that with the smallest doc_id, nulls last, then the least text key.
 
-    ``roots``: (node, root) of the text keys that are not alone. Rows that share an id are decided apart.
+    ``roots``: (node, root) of the text keys that are not alone. Rows that share an id are decided apart. The
+    document lives in a struct, so no column of its own can clash.
     """
-    named = docs.withColumn("_node", text_key(F.col("text")))
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").cast("long").alias("_id"), F.col("_node"))
+    named = docs.select(F.struct("*").alias("_doc"), text_key(F.col("text")).alias("_node"), F.col("doc_id").cast("long").alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_node")
     best = stored(named.groupBy("_node").agg(F.min(order).alias("_best")), "best")
     ids = best.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
     kept = stored(ids.groupBy("root").agg(F.min("_best").alias("_best")).select("_best._node", "_best._id"), "kept")
-    keep = (named["_node"] == kept["_node"]) & named["doc_id"].cast("long").eqNullSafe(kept["_id"])
-    return named.join(kept, keep, "left_semi").dropDuplicates(["_node", "doc_id"]).select(*docs.columns)
+    keep = (named["_node"] == kept["_node"]) & named["_id"].eqNullSafe(kept["_id"])
+    return named.join(kept, keep, "left_semi").dropDuplicates(["_node", "_id"]).select("_doc.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.llm.common import stored
+from fleetfold.llm.common import forget, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large, "edges")
         smallest = large.groupBy("a").agg(F.min("b").alias("_m"))
         moved = large.join(smallest, "a").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        current = stored(moved.unionByName(smallest.withColumnRenamed("_m", "b")).distinct(), "edges")
+        before, current = current, stored(moved.unionByName(smallest.withColumnRenamed("_m", "b")).distinct(), "edges")
+        forget(before, large)
         mark = _mark(current)
         if mark == seen:
             roots = current.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))

@@ -82,3 +82,26 @@ def test_rows_without_an_id_or_with_a_shared_one_are_decided_apart(spark, way):
     ]
     got = [(r.doc_id, r.text.split()[0]) for r in way.representatives(spark.createDataFrame([(*r, "a") for r in rows], SCHEMA)).collect()]
     assert sorted(got, key=str) == sorted([(None, "alone"), (7, one[0]), (None, two[0]), (8, three[0]), (8, four[0])], key=str)
+
+
+@pytest.mark.parametrize("bucket", [3, 16])
+def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch, bucket):
+    """Two families of copies that share buckets: no bucket is small enough to be compared at once."""
+    monkeypatch.setattr(near, "BUCKET", bucket)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    other = base[:252] + [f"v{i}" for i in range(48)]
+    rows = [(i, " ".join(edited(rng, (base, other)[i % 2], 1))) for i in range(60)]
+    docs = spark.createDataFrame([(*r, "a") for r in rows], SCHEMA)
+    root = brute_components([t for _, t in rows])
+    want = {min(rows[i][0] for i, r in enumerate(root) if r == c) for c in set(root)}
+    assert {r.doc_id for r in near.representatives(docs).collect()} == want
+
+
+def test_sets_larger_than_a_sketch_are_decided_exactly(spark, monkeypatch):
+    monkeypatch.setattr(near, "SKETCH", 64)
+    monkeypatch.setattr(near, "SLACK", 0.3)
+    texts = [t for t in corpus(11) if len(t.split()) > 120][:200]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], SCHEMA)
+    root = brute_components(texts)
+    assert {r.doc_id for r in near.representatives(docs).collect()} == {min(i for i, r in enumerate(root) if r == c) for c in set(root)}
