@@ -52,7 +52,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH RECURSIVE docs AS (
+WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     md5('1/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')) AS digest FROM documents),
 sources AS (
@@ -66,16 +66,27 @@ levels AS (
   WINDOW o AS (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goals AS (
   SELECT source, source_size, least(coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap), cap) AS target FROM levels),
+counted AS (
+  SELECT d.source, g.target, d.size, count(*) AS n FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source WHERE d.size > 0 GROUP BY ALL),
+stepped AS (
+  SELECT *, (target - 2 * CAST(coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / CAST(sum(n * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS step FROM counted),
+leveled AS (
+  SELECT source, max(CASE WHEN step * size <= 2 THEN step END) AS level FROM stepped GROUP BY source),
+wanting AS (
+  SELECT c.source, any_value(l.level) AS level, any_value(c.target) - sum(n * size * floor(coalesce(least(l.level * c.size, 2.0::DOUBLE), 2.0::DOUBLE))) AS wanted
+  FROM counted c JOIN leveled l ON c.source IS NOT DISTINCT FROM l.source GROUP BY c.source),
 rated AS (
-  SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate, floor(CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END) AS whole,
+  SELECT d.*, g.source_size, g.target, w.wanted,
+    CASE WHEN d.size > 0 THEN coalesce(CASE WHEN w.level IS NOT NULL THEN least(w.level * d.size, 2.0::DOUBLE) END, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS m,
     (CAST('0x' || substr(digest, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN wanting w ON d.source IS NOT DISTINCT FROM w.source),
 ranked AS (
-  SELECT *, target - whole * source_size AS wanted, (u / (1 - u)) / ((rate - whole) / (1 - (rate - whole))) AS rank FROM rated),
+  SELECT *, CASE WHEN m > floor(m) THEN (u / (1 - u)) / ((m - floor(m)) / (1 - (m - floor(m)))) END AS rank FROM rated),
 summing AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, digest ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle FROM ranked)
+  SELECT *, CASE WHEN rank IS NOT NULL THEN sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, digest ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE END AS middle FROM ranked)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN wanted > 0 AND middle <= wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM summing
+  CAST(size * (floor(m) + CASE WHEN wanted > 0 AND middle <= wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM summing
 """
 
 

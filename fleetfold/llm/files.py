@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 MANIFEST = "file STRING, temporary STRING, shard INT, number INT, records BIGINT, units BIGINT, bytes BIGINT, sha256 STRING"
 FIELDS = [c.split()[0] for c in MANIFEST.split(", ")]
-# Sampled keys for each shard border: at most this many times the shards come to the driver.
+# Sampled keys for each shard border: about this many times the shards come to the driver.
 SAMPLED = 32
+# Shards grow with the table once there are this many, so borders and sampled keys stay a few megabytes.
+MOST_SHARDS = 20_000
 
 
 def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
@@ -33,14 +35,17 @@ def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
+def shard_count(rows: int, shard_rows: int) -> int:
+    return max(1, min(-(-rows // shard_rows), MOST_SHARDS))
+
+
 def borders(rows: DataFrame, key: str, shards: int) -> list[int]:
     """Keys at which shards begin, the same on every run: a sample by hash, not by chance."""
     if shards <= 1:
         return []
-    total = rows.count()
-    every = max(1, total // (shards * SAMPLED))
+    every = max(1, rows.count() // (shards * SAMPLED))
     chosen = rows.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.col(key)), F.lit(every)) == 0)).select(F.col(key).cast("long"))
-    keys = np.sort(np.array([r[0] for r in chosen.distinct().limit(4 * shards * SAMPLED).collect()], dtype=np.int64))
+    keys = np.sort(np.array([r[0] for r in chosen.distinct().collect()], dtype=np.int64))
     if not len(keys):
         return []
     picks = (np.arange(1, shards) * len(keys)) // shards
@@ -71,7 +76,7 @@ def write_sharded(rows: DataFrame, folder: str, shards: int, order: list[str], e
     in order, ``last`` with the last piece of a file. It must not look across shards.
     """
     spark = rows.sparkSession
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", *order)
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", *order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib

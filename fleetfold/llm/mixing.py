@@ -1,15 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source that is to give ``r`` times its words gives every document ``floor(r)`` whole copies for
-certain; the fraction that is left is an inclusion probability p. Documents draw a random number u
-and are ranked by the odds ratio (u / (1 - u)) / (p / (1 - p)); each source takes from the top of its
-ranking until it has its words. u is a digest of id and text, so reruns agree.
-
-No source is sorted: ranks are counted in bins, a running sum over at most ``BINS`` rows per source
-finds the bin in which it fills up, and only that bin's documents are put in order. What is joined
-back to the documents is one row per source.
-
-A null text has size 0 and is taken as often as the others of its source; null is a source like any
+A source that is to give T words takes document i, of s_i words, m_i = min(most, level * s_i) times on average:
+in proportion to its size, with the level at which the expected words are T. floor(m_i) copies are certain;
+the rest p_i = m_i - floor(m_i) is the document's own inclusion probability. Documents draw a random number u
+and are ranked by the odds ratio (u / (1 - u)) / (p_i / (1 - p_i)); the sample is the top of the ranking. Its
+size is fixed in words, which is what targets count: documents are taken in order as long as that brings the
+source nearer to its target, so it misses it by half of the document at the end at the most. u is a digest of
+id and text, so reruns agree.
+
+No source is sorted: ranks are counted in bins, a running sum over at most ``BINS`` rows per source finds the bin in
+which it fills up, and only that bin's documents are put in order. The level comes from the numbers of documents of
+each size. What is joined back to the documents is one row per source.
+
+A text without words, null or not, has size 0 and is never taken; null is a source like any
 other, the last in order. Rows that repeat id and text rank together and are taken or left together.
 Empty sources and an empty table give no words. Extra columns pass through; names of results replace
 columns of the same name.
@@ -67,31 +70,52 @@ def uniform(digest: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def _odds(rate: Column, digest: Column) -> Column:
+def expected(size: Column, level: Column, most: int = MOST) -> Column:
+    """Copies of a document on average; a null level takes every document ``most`` times."""
+    wanted = F.coalesce(F.least(level * size, F.lit(float(most))), F.lit(float(most)))
+    return F.when(size > 0, wanted).otherwise(0.0)
+
+
+def _odds(copies_: Column, digest: Column) -> Column:
     """Null where nothing but whole copies is taken."""
-    p = rate - F.floor(rate)
+    p = copies_ - F.floor(copies_)
     u = uniform(digest)
-    return F.try_divide(u / (1.0 - u), p / (1.0 - p))
+    return F.when(p > 0, (u / (1.0 - u)) / (p / (1.0 - p)))
 
 
 def _bin(rank: Column) -> Column:
     return F.floor(rank / (1.0 + rank) * BINS).cast("int")
 
 
-def plan(narrow: DataFrame, **shares) -> DataFrame:
-    """Per source: source_size, target, whole copies, and the end of its ranking (bin, rank, digest).
+def levels(sizes: DataFrame, most: int = MOST) -> DataFrame:
+    """Per source: ``_level``, and ``_wanted``, the words to be sampled beside whole copies.
+
+    ``sizes``: source, target, size, n (documents of that size). From the largest size down, a size is capped
+    when the level of what is left would exceed ``most``; one running sum over the sizes of a source finds it.
+    """
+    words, squares = F.col("n") * F.col("size"), F.col("n").cast("decimal(38,0)") * F.col("size") * F.col("size")
+    larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    capped = F.coalesce(F.sum(words).over(larger), F.lit(0)).cast("double")
+    rest = F.sum(squares.cast("decimal(38,0)")).over(smaller).cast("double")
+    rows = sizes.filter("size > 0").withColumn("_level", (F.col("target") - most * capped) / rest)
+    fits = F.max(F.when(F.col("_level") * F.col("size") <= most, F.col("_level"))).over(Window.partitionBy("source"))
+    rows = rows.withColumn("_level", fits)
+    whole = F.floor(expected(F.col("size"), F.col("_level"), most))
+    return rows.groupBy("source").agg(F.first("_level").alias("_level"), (F.first("target") - F.sum(words * whole)).alias("_wanted"))
+
+
+def plan(narrow: DataFrame, most: int = MOST, **shares) -> DataFrame:
+    """Per source: source_size, target, level, and the end of its ranking (bin, rank, digest).
 
     ``narrow`` has source, size and digest; it is read three times, so it should be a stored table.
     """
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, **shares).withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    goal = stored(
-        goal.withColumns(
-            {"_whole": F.floor("_rate").cast("long"), "_wanted": F.col("target") - F.floor("_rate") * F.col("source_size")}
-        ),
-        "targets",
-    )
-    ranked = by_source(narrow, goal).filter(F.col("_wanted") > 0).withColumn("_rank", _odds(F.col("_rate"), F.col("digest")))
+    counted = stored(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
+    goal = stored(targets(counted.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), most=most, **shares), "targets")
+    level = levels(by_source(counted, goal.select("source", "target")), most)
+    goal = stored(by_source(goal, level, "left"), "levels")
+    copies_ = expected(F.col("size"), F.col("_level"), most)
+    ranked = by_source(narrow, goal).withColumn("_rank", _odds(copies_, F.col("digest"))).filter(F.col("_rank").isNotNull() & (F.col("_wanted") > 0))
     ranked = ranked.withColumn("_bin", _bin(F.col("_rank")))
     bins = ranked.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.first("_wanted").alias("_wanted"))
     upto = Window.partitionBy("source").orderBy("_bin")
@@ -115,33 +139,34 @@ def by_source(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> Dat
     return rows.join(right, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
-def copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
-    """Add source_size, target and copies to rows with source and digest."""
+def copies(rows: DataFrame, planned: DataFrame, most: int = MOST) -> DataFrame:
+    """Add source_size, target and copies to rows with source, size and digest."""
     joined = by_source(rows, planned)
-    rank = _odds(F.col("_rate"), F.col("digest"))
+    wanted = expected(F.col("size"), F.col("_level"), most)
+    rank = _odds(wanted, F.col("digest"))
     early = (_bin(rank) < F.col("_end")) | (
         (_bin(rank) == F.col("_end")) & (F.struct(rank.alias("_rank"), F.col("digest")) <= F.col("_cut"))
     )
     extra = F.when((F.col("_wanted") > 0) & F.coalesce(early, F.lit(False)), 1).otherwise(0)
-    out = joined.withColumn("copies", F.col("_whole") + extra)
-    return out.drop("_rate", "_whole", "_wanted", "_end", "_cut")
+    out = joined.withColumn("copies", F.floor(wanted) + extra)
+    return out.drop("_level", "_wanted", "_end", "_cut")
 
 
 def sized(docs: DataFrame, seed: int = 1) -> DataFrame:
     return docs.withColumns({"size": word_count(F.col("text")), "digest": draw(F.col("doc_id"), F.col("text"), seed)})
 
 
-def mix(docs: DataFrame, seed: int = 1, **shares) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, most: int = MOST, **shares) -> DataFrame:
     """One row per document (doc_id, source, size) with source_size, target, copies and taken."""
     narrow = stored(sized(docs, seed).select("doc_id", "source", "size", "digest"), "mix")
-    return copies(narrow, plan(narrow, **shares)).withColumn("taken", F.col("size") * F.col("copies")).drop("digest")
+    return copies(narrow, plan(narrow, most, **shares), most).withColumn("taken", F.col("size") * F.col("copies")).drop("digest")
 
 
-def mixed_rows(docs: DataFrame, seed: int = 1, **shares) -> DataFrame:
+def mixed_rows(docs: DataFrame, seed: int = 1, most: int = MOST, **shares) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns it had."""
-    narrow = stored(sized(docs, seed).select("source", "size", "digest"), "mix")
     # Helper columns live beside the document, so names of the input cannot clash with them.
-    whole = docs.select(F.struct("*").alias("_doc"), "source", draw(F.col("doc_id"), F.col("text"), seed).alias("digest"))
-    taken = copies(whole, plan(narrow, **shares)).filter(F.col("copies") > 0)
+    whole = docs.select(F.struct("*").alias("_doc"), "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("digest"))
+    narrow = stored(whole.drop("_doc"), "mix")
+    taken = copies(whole, plan(narrow, most, **shares), most).filter(F.col("copies") > 0)
     repeated = taken.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
     return repeated.select("_doc.*")

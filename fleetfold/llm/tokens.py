@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.llm import huffman
 from fleetfold.llm.common import stored, wide_enough
-from fleetfold.llm.files import borders, filesystem, read_files, shard_of, write_sharded
+from fleetfold.llm.files import borders, filesystem, read_files, shard_count, shard_of, write_sharded
 
 END_ID = 1
 MAGIC = b"HUFTOK01"
@@ -50,11 +50,12 @@ class WordEncoder:
     """ids of whole texts as little-endian bytes (``dtype``), from the tokenizers library.
 
     For tokenizers that drop blanks and look at each run of letters by itself. A chunk between blanks
-    is encoded as it is; one that is letters followed by ASCII punctuation is put together from its
-    two parts, which such a tokenizer never joins.
+    is encoded as it is; one that is Latin letters followed by ASCII punctuation is put together from its
+    two parts, which such a tokenizer never joins. Other letters are left with what follows them, as
+    composing or lower-casing may end them in a mark that belongs with punctuation (U+0130 is one).
     """
 
-    _PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:-;=?-@\[-`{}~]*)")
+    _PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-;=?-@\\[-`{}~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -181,7 +182,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, file_bytes: int =
     dtype = encoder(tokenizer).dtype
     lengths = huffman.code_lengths(id_counts(ids, dtype))
     _save_lengths(folder, lengths)
-    shards = max(1, -(-ids.count() // shard_rows))
+    shards = shard_count(ids.count(), shard_rows)
     edges = borders(ids, "doc_id", shards)
     rows = _coded(ids, lengths, dtype).withColumn("shard", shard_of(F.col("doc_id"), edges))
 

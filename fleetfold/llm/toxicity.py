@@ -12,8 +12,8 @@ is a task of its own, and only weights and the numbers of the sampled rows come
 document is scored in full.
 
 Null, empty and wordless texts have no features and get the models' constant term. Labels without a
-document, null labels and null ids do not train; of several labels of a document the largest counts.
-Without labels of both kinds a category has probability 0. Repeated rows are scored like any other;
+document and null ids do not train; a null label of a category leaves a row out of that category's fit alone;
+of several labels of a document the largest counts, of several texts of an id the least. Without labels of both kinds a category has probability 0. Repeated rows are scored like any other;
 extra columns pass through, and names of results replace columns of the same name.
 """
 
@@ -47,12 +47,13 @@ def features(text: str | None) -> set[str]:
 def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], size: int = SAMPLE) -> DataFrame:
     """(row, fold, y, words): at most about ``size`` labelled documents, chosen and folded by hash."""
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c.cast("double")).alias(n) for n, c in categories.items()])
-    known = known.dropna()
+    known = known.filter(F.coalesce(*categories).isNotNull())
     share = size / max(size, known.count())
     mark = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.filter(mark < share)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # An id with several texts keeps one that does not depend on how rows arrive.
+    texts = docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).join(chosen, "doc_id")
     words = F.pandas_udf(lambda s: s.map(lambda t: sorted(features(t))), "array<string>")
     rows = stored(texts.select(F.col("doc_id").alias("row"), fold.alias("fold"), F.array(*categories).alias("y"), words("text").alias("words")), "words")
     # Most words of a text are in no other; they can teach nothing and would fill the fits' memory.
@@ -115,7 +116,7 @@ def _train(category: int, names: list[str]):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         fold = key[0].as_py()
         rows = rows.sort_by("row").combine_chunks()
-        y = np.array([v[category] for v in rows["y"].to_pylist()])
+        y = np.array([v[category] for v in rows["y"].to_pylist()], dtype=float)
         earlier = np.array(rows["earlier"].to_pylist(), dtype=np.float32).reshape(len(rows), category)
         held = rows["own_fold"].to_numpy() == fold
         lists = rows["words"].chunk(0) if rows["words"].num_chunks else pa.array([], pa.list_(pa.string()))
@@ -125,7 +126,7 @@ def _train(category: int, names: list[str]):
         place = np.argsort(np.argsort(np.array(vocabulary.to_pylist(), dtype=object), kind="stable"), kind="stable")
         codes = place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-        train = ~held
+        train = ~held & ~np.isnan(y)
         if len(set(y[train] > 0)) < 2:
             chosen, weights = np.zeros(0, np.int64), np.zeros(category + 1, np.float32)
             weights[-1] = 30.0 if train.any() and y[train].min() > 0 else -30.0
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], siz
         chain.append({name: value for kind, name, value in found if kind == "weight"} or {"": -30.0})
         unseen = {int(n): v for k, n, v in found if k == "probability"}
         truth = {r.row: r.y[category] for r in rows.select("row", "y").collect()}
-        ids = sorted(unseen)
+        ids = sorted(i for i in unseen if truth[i] is not None)
         thresholds[names[category]] = choose_threshold(np.array([unseen[i] for i in ids]), np.array([truth[i] for i in ids]))
         fresh = spark.createDataFrame(list(unseen.items()), "row LONG, p DOUBLE")
         earlier = earlier.join(fresh, "row").select("row", F.concat("earlier", F.array("p")).alias("earlier"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetfold.llm.common import stored
-from fleetfold.llm.files import borders, read_files, shard_of, write_sharded
+from fleetfold.llm.files import borders, read_files, shard_count, shard_of, write_sharded
 
 MIN_BYTES = 1000
 FILE_BYTES = 64 << 20
@@ -124,7 +124,7 @@ def members(stream, size: int = 1 << 20) -> Iterator[bytes]:
 def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_rows: int = SHARD_ROWS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) below a folder every executor can reach; returns the manifest."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    shards = max(1, -(-pages.count() // shard_rows))
+    shards = shard_count(pages.count(), shard_rows)
     edges = borders(pages, "page_id", shards)
     none = lambda kind: F.lit(None).cast(kind)
     revisits = owners(pages, min_bytes).select("page_id", F.lit(0).alias("kind"), none("string").alias("url"), none("string").alias("html"), "sha1", "refers_to")
