@@ -14,9 +14,8 @@ from fleetfold.session import work_dir
 GAPS = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-# Texts are long: batches of the default 10,000 rows would take tens of megabytes in every worker.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Texts are long: batches of the default 10,000 rows or 64 MB would fill every worker's memory.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -30,8 +29,8 @@ def reachable(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
-    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    for key, most in _BATCHES.items():
+        spark.conf.set(key, most)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
