@@ -29,16 +29,12 @@ def first_occurrence(valid: DataFrame) -> DataFrame:
     return valid.groupBy("event_id").agg(earliest.alias("first")).select("event_id", "first.*")
 
 
-def dedup_against_ledger(firsts: DataFrame, ledger_ids: DataFrame, small_batch: bool = False) -> DataFrame:
+def dedup_against_ledger(firsts: DataFrame, ledger_ids: DataFrame) -> DataFrame:
     """Drop ids handled before. Both sides hold each id once, so no key is hot.
 
-    ``small_batch`` says the caller has counted ``firsts`` and found it fit to broadcast: the ledger,
-    which only grows, is then scanned in place (one column) and not shuffled.
+    ``ledger_ids`` may be all handled ids or those of the buckets that the batch falls into (``known_ids``).
     """
-    known = ledger_ids.select("event_id")
-    if small_batch:
-        known = known.join(F.broadcast(firsts.select("event_id")), "event_id", "left_semi")
-    return firsts.join(known, "event_id", "left_anti")
+    return firsts.join(ledger_ids.select("event_id"), "event_id", "left_anti")
 
 
 def classify_late(firsts: DataFrame, current: DataFrame | None = None, rows_per_block: int = BLOCK_ROWS) -> DataFrame:
@@ -57,12 +53,11 @@ def classify(
     ledger_ids: DataFrame | None = None,
     current: DataFrame | None = None,
     rows_per_block: int = BLOCK_ROWS,
-    small_batch: bool = False,
 ) -> DataFrame:
     """Add ``outcome`` to judged rows (see ``envelope.judge``)."""
     firsts = first_occurrence(judged.filter(F.col("reason").isNull()))
     if ledger_ids is not None:
-        firsts = dedup_against_ledger(firsts, ledger_ids, small_batch)
+        firsts = dedup_against_ledger(firsts, ledger_ids)
     fates = classify_late(firsts, current, rows_per_block).select(*POSITION_KEY, "late")
     outcome = (
         F.when(F.col("reason").isNotNull(), "dead")

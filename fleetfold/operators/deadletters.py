@@ -109,6 +109,56 @@ def fold(actions: DataFrame, seconds: int = BLOCK_SECONDS) -> DataFrame:
     )
 
 
+# One row per event: what its actions add up to. Summaries of parts of the action log merge in any order.
+SUMMARY = (
+    "event_id STRING, first STRUCT<action_ts: TIMESTAMP, action_id: STRING, raw_payload: BINARY, topic: STRING, partition: INT, offset: BIGINT>, "
+    "latest STRUCT<action_ts: TIMESTAMP, action_id: STRING, error: STRING, reason: STRING>, attempts BIGINT, "
+    "won STRUCT<action_ts: TIMESTAMP, action_id: STRING>"
+)
+
+
+def summarize(actions: DataFrame) -> DataFrame:
+    """Actions as ``SUMMARY`` rows. Marks must be winners, as those of a ledger are: it marks dead entries only."""
+    refused = F.col("action") == "refuse"
+    order = F.when(refused, F.struct("action_ts", "action_id"))
+    return actions.groupBy("event_id").agg(
+        F.min_by(F.struct("action_ts", "action_id", *_FIRST), order).alias("first"),
+        F.max_by(F.struct("action_ts", "action_id", "error", "reason"), order).alias("latest"),
+        F.sum(F.when(refused, F.col("attempts"))).cast("bigint").alias("attempts"),
+        F.max(F.when(~refused, F.struct("action_ts", "action_id"))).alias("won"),
+    )
+
+
+def merge_summaries(summaries: DataFrame) -> DataFrame:
+    """One row per event from any number of summaries. Combines before the shuffle; no order is needed."""
+    at = lambda c: F.struct(F.col(f"{c}.action_ts"), F.col(f"{c}.action_id"))
+    given = lambda c: F.when(F.col(c).isNotNull(), at(c))
+    return summaries.groupBy("event_id").agg(
+        F.min_by("first", given("first")).alias("first"),
+        F.max_by("latest", given("latest")).alias("latest"),
+        F.sum("attempts").alias("attempts"),
+        F.max("won").alias("won"),
+    )
+
+
+def entries(merged: DataFrame) -> DataFrame:
+    """The dead-letter table from merged summaries; equal to ``fold`` of the actions they stand for."""
+    last = F.struct("latest.action_ts", "latest.action_id")
+    replayed = F.coalesce(F.col("won") > last, F.lit(False))
+    return merged.filter(F.col("first").isNotNull()).select(
+        "event_id",
+        F.col("first.raw_payload").alias("raw_payload"),
+        F.col("latest.error").alias("error"),
+        F.col("latest.reason").alias("reason"),
+        F.col("attempts").cast("int").alias("attempts"),
+        F.col("first.action_ts").alias("first_failed_at"),
+        F.col("latest.action_ts").alias("last_failed_at"),
+        *[F.col(f"first.{c}").alias(c) for c in _FIRST[1:]],
+        F.when(replayed, "replayed").otherwise("dead").alias("state"),
+        F.when(replayed, F.col("won.action_ts")).alias("replayed_at"),
+    ).select(*columns(DEAD_LETTERS))
+
+
 def depth(dead_letters: DataFrame) -> DataFrame:
     """Rows awaiting replay; always one row, 0 when there are none."""
     return dead_letters.agg(F.count_if(F.col("state") == "dead").alias("depth"))
@@ -198,14 +248,21 @@ def plan_replay(
     stays spread over the cluster.
     """
     if event_id is not None:
-        rows = get_dead_letter(dead_letters, event_id)
-    elif everything:
+        return plan_requests(dead_letters, dead_letters.sparkSession.createDataFrame([(event_id,)], "event_id STRING"))
+    if everything:
         rows = dead_letters.filter(F.col("state") == "dead")
     else:
         rows = list_dead_letters(dead_letters, "dead", limit)
     return rows.withColumn("refusal", replay_refusal(F.col("state"), F.col("raw_payload")))
 
 
+def plan_requests(dead_letters: DataFrame, requested: DataFrame) -> DataFrame:
+    """Requested ids (event_id), each once, with their entries and ``refusal``: missing, already replayed, or without payload."""
+    found = requested.select("event_id").distinct().join(dead_letters, "event_id", "left").select(*columns(DEAD_LETTERS))
+    refusal = F.when(F.col("state").isNull(), "no such dead letter").otherwise(replay_refusal(F.col("state"), F.col("raw_payload")))
+    return found.withColumn("refusal", refusal)
+
+
 def eligible(plan: DataFrame) -> DataFrame:
     return plan.filter(F.col("refusal").isNull()).drop("refusal")
 

@@ -35,8 +35,8 @@ def history(ledger: DataFrame) -> DataFrame:
     return rows.withColumns(stored).select(*columns(HISTORY))
 
 
-def current_state(hist: DataFrame) -> DataFrame:
-    """Newest report per vehicle; among equal event times the one that arrived first.
+def current_state(hist: DataFrame, *more: str) -> DataFrame:
+    """Newest report per vehicle; among equal event times the one that arrived first. ``more``: other columns to keep.
 
     Arrival order is (ingested_at, partition, offset); history knows no topic, so the id settles what
     two topics leave open. A hash aggregate with map-side combine finds
@@ -44,34 +44,36 @@ def current_state(hist: DataFrame) -> DataFrame:
     """
     # Negated arrival: among equal event times the earliest is the greatest.
     rank = F.struct("event_ts", -F.unix_micros("ingested_at"), -F.col("partition"), -F.col("offset"), F.col("event_id"))
-    kept = F.struct(*_STATE, F.col("event_ts").alias("last_event_ts"), F.col("event_id").alias("last_event_id"), F.col("ingested_at").alias("updated_at"))
-    return hist.groupBy("vehicle_id").agg(F.max_by(kept, rank).alias("s")).select("vehicle_id", "s.*").select(*columns(CURRENT))
+    kept = F.struct(*_STATE, F.col("event_ts").alias("last_event_ts"), F.col("event_id").alias("last_event_id"), F.col("ingested_at").alias("updated_at"), *more)
+    return hist.groupBy("vehicle_id").agg(F.max_by(kept, rank).alias("s")).select("vehicle_id", "s.*").select(*columns(CURRENT), *more)
 
 
-def guarded_upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
+def guarded_upsert(current: DataFrame, incoming: DataFrame, *more: str) -> DataFrame:
     """Current state after ``incoming`` (history rows): replaced only by a strictly newer event.
 
     Both sides have at most one row per vehicle when they meet, so the merge is one aggregate over
     their union and needs no hot-key care. On a tie the stored row stays.
     """
-    newest = current_state(incoming).withColumn("_incoming", F.lit(1))
+    newest = current_state(incoming, *more).withColumn("_incoming", F.lit(1))
     both = current.withColumn("_incoming", F.lit(0)).unionByName(newest)
     rest = [c for c in columns(CURRENT) if c != "vehicle_id"]
-    winner = F.max_by(F.struct(*rest), F.struct("last_event_ts", -F.col("_incoming")))
-    return both.groupBy("vehicle_id").agg(winner.alias("s")).select("vehicle_id", "s.*").select(*columns(CURRENT))
+    winner = F.max_by(F.struct(*rest, *more), F.struct("last_event_ts", -F.col("_incoming")))
+    return both.groupBy("vehicle_id").agg(winner.alias("s")).select("vehicle_id", "s.*").select(*columns(CURRENT), *more)
 
 
-def current_position(current: DataFrame, hist: DataFrame, vehicle_ids: list[str] | None = None) -> DataFrame:
-    """Where each vehicle is now, with the counter of the report it came from; unknown -> no row."""
+def current_position(current: DataFrame, vehicle_ids: list[str] | None = None) -> DataFrame:
+    """Where each vehicle is now, with the counter of the report it came from; unknown -> no row.
+
+    ``current`` carries ``sequence`` beside its own columns (``current_state(hist, "sequence")``), so no history is read.
+    """
     if vehicle_ids is not None:
         current = current.filter(F.col("vehicle_id").isin(vehicle_ids))
-    counters = hist.select(F.col("event_id").alias("last_event_id"), F.col("sequence").alias("_sequence"))
-    return current.join(counters, "last_event_id", "left").select(
+    return current.select(
         F.col("last_event_id").alias("event_id"),
         "vehicle_id",
         *_STATE,
         F.col("last_event_ts").alias("event_ts"),
-        stored_sequence(F.col("_sequence")).alias("sequence"),
+        stored_sequence(F.col("sequence")).alias("sequence"),
     )
 
 

@@ -160,10 +160,32 @@ def replay_all(spark, sf):
     return dl.plan_replay(d, limit=40).select("event_id", "state", "refusal")
 
 
+def merge_dead_letters(spark, sf):
+    """The table from summaries of four parts of the action log, as a ledger keeps them: no order is taken."""
+    actions = _actions(spark, sf)
+    won = dl.mark_outcomes(actions).filter("marked").select("event_id", "action_ts", "action_id")
+    kept = actions.filter("action = 'refuse'").unionByName(actions.filter("action = 'mark'").join(won, ["event_id", "action_ts", "action_id"], "left_semi"))
+    parts = [dl.summarize(kept.filter(F.pmod(F.xxhash64("event_id", "action_ts", "action_id"), F.lit(4)) == k)) for k in range(4)]
+    return _short(dl.entries(dl.merge_summaries(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))))
+
+
 def replay_one(spark, sf):
-    """Every entry asked for by id, whatever its state."""
-    d = _dead_letters(spark, sf)
-    return d.select("event_id", dl.replay_refusal(F.col("state"), F.col("raw_payload")).alias("refusal"))
+    """Entries asked for by id, some of them not there, without payload or replayed before: published, then marked.
+
+    Shows for every id why it was refused, whether its record was published, and the state it is in afterwards.
+    """
+    actions = _actions(spark, sf).withColumn("raw_payload", F.when((F.col("action") == "mark") | (F.col("offset") % 7 != 0), F.col("raw_payload")))
+    found = dl.fold(actions)
+    asked = found.filter(F.col("offset") % 4 != 1).select("event_id")
+    absent = t.events(spark, sf).filter(F.col("event_id") % 40 == 0).select(F.concat(F.lit("absent-"), F.col("event_id").cast("string")).alias("event_id"))
+    path = work_dir(spark, "replay")
+    dl.plan_requests(found, asked.unionByName(absent)).write.parquet(path)
+    plan = spark.read.parquet(path)
+    published = dl.republished(dl.eligible(plan)).select(F.col("key").cast("string").alias("event_id"), F.lit(True).alias("published"))
+    marks = dl.marks(dl.eligible(plan), F.col("last_failed_at") + F.expr("INTERVAL 9 DAYS"), F.lit("op-z"))
+    after = dl.fold(actions.unionByName(marks)).select("event_id", F.col("state").alias("state_after"))
+    shown = plan.select("event_id", "refusal").join(published, "event_id", "left").join(after, "event_id", "left")
+    return shown.select("event_id", "refusal", F.coalesce("published", F.lit(False)).alias("published"), "state_after")
 
 
 def replay_into_log(spark, sf):
@@ -198,7 +220,11 @@ QUERIES = {
     "republish": (republish, f"{_ACTIONS_SQL} SELECT event_id, topic, {_HEADERS_SQL} AS headers, true AS has_bytes FROM dead_letters WHERE state = 'dead'"),
     "replay_all": (replay_all, f"""{_ACTIONS_SQL} SELECT event_id, state, CASE WHEN off % 7 = 0 THEN 'no stored payload' END AS refusal FROM dead_letters WHERE state = 'dead'
         ORDER BY last_failed_at DESC, event_id LIMIT 40"""),
-    "replay_one": (replay_one, f"{_ACTIONS_SQL} SELECT event_id, CASE WHEN state <> 'dead' THEN 'already replayed' END AS refusal FROM dead_letters"),
+    "merge_dead_letters": (merge_dead_letters, f"{_ACTIONS_SQL} SELECT {_ROW} FROM dead_letters"),
+    "replay_one": (replay_one, f"""{_ACTIONS_SQL}, asked AS (SELECT event_id FROM dead_letters WHERE off % 4 <> 1 UNION ALL SELECT concat('absent-', event_id) FROM events WHERE event_id % 40 = 0),
+        judged AS (SELECT a.event_id, d.state, CASE WHEN d.state IS NULL THEN 'no such dead letter' WHEN d.state <> 'dead' THEN 'already replayed' WHEN d.off % 7 = 0 THEN 'no stored payload' END AS refusal
+          FROM asked a LEFT JOIN dead_letters d ON a.event_id = d.event_id)
+        SELECT event_id, refusal, refusal IS NULL AS published, CASE WHEN refusal IS NULL THEN 'replayed' ELSE state END AS state_after FROM judged"""),
     "replay_into_log": (replay_into_log, f"""{_ACTIONS_SQL} SELECT 'telemetry.raw' AS topic, false AS replayed, count(*) AS records, count(*) AS positioned FROM log
         UNION ALL SELECT 'telemetry.raw', true, count(*), 0 FROM dead_letters WHERE state = 'dead'"""),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetfold.functions import geo, text
@@ -133,7 +134,32 @@ def round_tenth(spark, sf):
     return t.events(spark, sf).select("event_id", text.round_tenth(F.when(F.col("event_id") % 2 == 0, -F.col("value")).otherwise(F.col("value"))).alias("tenth"))
 
 
+def geometry_faults(spark, sf):
+    """Routes written as geometry documents, one in five spoilt in one of five ways, and what is found wrong with each."""
+    w = waypoints(spark, sf).filter(F.col("lat").isNotNull())
+    way = F.pmod(F.regexp_extract("route_id", "[0-9]+", 0).cast("bigint"), F.lit(25))
+    rank = F.row_number().over(Window.partitionBy("route_id").orderBy("idx"))
+    w = w.withColumns({"_way": way, "_n": rank}).filter((F.col("_way") != 3) | (F.col("_n") == 1))
+    point = (
+        F.when((F.col("_way") == 1) & (F.col("_n") == 1), F.lit('["north", 1]'))
+        .when(F.col("_way") == 4, F.lit("[12.5, 77.5]"))
+        .otherwise(F.to_json(F.array("lat", "lon")))
+    )
+    points = w.groupBy("route_id", "_way").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", point.alias("p")))), lambda s: s["p"]).alias("points"))
+    name = F.when(F.col("_way") == 0, F.lit("")).otherwise(F.col("route_id"))
+    copies = F.when(F.col("_way") == 2, F.lit(2)).otherwise(F.lit(1))
+    routes_ = points.select(name.alias("id"), "points", F.explode(F.sequence(F.lit(1), copies)))
+    path = work_dir(spark, "geometry")
+    body = F.concat(F.lit('{"routes":[{"id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(',"points":['), F.array_join("points", ","), F.lit("]}]}"))
+    routes_.select(body.alias("value")).write.text(path)
+    return tables.geometry_faults(tables.read_waypoints(spark, path, lines=True)).select("route_id", "fault")
+
+
 QUERIES = {
+    "geometry_faults": (geometry_faults, f"""WITH {POINTS_SQL}, shaped AS (SELECT route_id, count(*) AS n, CAST(regexp_extract(route_id, '[0-9]+') AS BIGINT) % 25 AS way FROM points GROUP BY route_id)
+        SELECT DISTINCT CASE WHEN way = 0 THEN '' ELSE route_id END AS route_id, CASE way WHEN 0 THEN 'no id' WHEN 1 THEN 'a point is not a pair of numbers' WHEN 2 THEN 'the id appears more than once'
+          WHEN 3 THEN 'fewer than 2 points' ELSE 'zero length' END AS fault FROM shaped WHERE way < 5 AND (way <> 4 OR n > 1)
+        UNION ALL SELECT route_id, 'fewer than 2 points' FROM shaped WHERE n < 2 AND (way > 4 OR way = 4)"""),
     "read_waypoints": (read_waypoints, f"""WITH {POINTS_SQL} SELECT concat(route_id, '/', idx // 1000) AS route_id,
         row_number() OVER (PARTITION BY route_id, idx // 1000 ORDER BY idx) - 1 AS point_no, lat, lon FROM points"""),
     "route_segments": (route_segments, f"WITH {SEGMENTS_SQL} SELECT route_id, idx, round(length_m, 1) AS length_m, round(start_m, 1) AS start_m FROM segments"),

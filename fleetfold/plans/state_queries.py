@@ -53,7 +53,7 @@ def current_state(spark, sf):
 
 def current_position(spark, sf):
     hist = t.stored_history(spark, sf)
-    return state.current_position(state.current_state(hist), hist)
+    return state.current_position(state.current_state(hist, "sequence"))
 
 
 def history_summary(spark, sf):

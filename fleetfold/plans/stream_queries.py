@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from fleetfold.operators import deadletters, reconcile, state
 from fleetfold.plans import telemetry as t
 from fleetfold.plans.state_queries import CURRENT_SQL
-from fleetfold.schemas import CURRENT
 from fleetfold.session import work_dir
 from fleetfold.sources import log as log_source
-from fleetfold.streaming.consume import replay, run_stream
+from fleetfold.streaming.consume import consume_batch, drain_retries, replay, run_stream
 from fleetfold.streaming.ledger import Ledger
 
 C = t.CLASSIFIED_SQL
@@ -65,10 +64,9 @@ def rewind_stream(spark, sf):
 
 
 def upsert_current(spark, sf):
-    """The snapshot that the last micro-batch stored, as it lies there."""
+    """The current state as its buckets lie there, each written by the last micro-batch that touched it."""
     ledger, *_ = _consumed(spark, sf)
-    newest = ledger._commits_in("current")[-1]
-    return spark.read.schema(CURRENT).parquet(ledger._path("current", f"commit={newest}")).drop("updated_at")
+    return ledger.current().drop("updated_at")
 
 
 def reconcile_stream(spark, sf):
@@ -107,6 +105,41 @@ def replay_stream(spark, sf):
     return entries.groupBy("state").agg(F.count("*").alias("entries")).withColumn("depth", deadletters.depth(entries).scalar())
 
 
+# Where the writer beside the ledger fails in ``retry_stream``: once, or whenever it is tried.
+_ONCE, _ALWAYS, _TRIES = (1000, 1102), (2000,), 1
+
+
+def retry_stream(spark, sf):
+    """The log drained with a writer that fails for single records, then what waits tried until nothing does.
+
+    Records that fail once are handled in their turn; the ones that always fail are given up.
+    """
+    path, ledger = _produced(spark, sf), Ledger(spark, work_dir(spark, "ledger"))
+
+    def deliver(rows):
+        fails = F.col("offset").isin(*_ALWAYS) | (F.col("offset").isin(*_ONCE) & (F.col("tries") < 1))
+        return rows.filter(fails).select("topic", "partition", "offset", F.lit(True).alias("transient"), F.lit("store is busy").alias("error"))
+
+    source = log_source.read_log(spark, path, stream=True, max_files=FILES)
+    run_stream(source, ledger, work_dir(spark, "checkpoint"), deliver=deliver, max_retries=_TRIES).awaitTermination()
+    drain_retries(ledger, deliver, max_retries=_TRIES)
+    return ledger.rows().select(F.col("partition").alias("part"), F.col("offset").alias("off"), "outcome", "reason", "attempts")
+
+
+def compact_ledger(spark, sf):
+    """The log in eight batches into a ledger that merges every two folders: rows, ids and frames agree with one batch."""
+    path, ledger = work_dir(spark, "log"), Ledger(spark, work_dir(spark, "ledger"), fanout=2)
+    t.raw_log(spark, sf).write.parquet(path)
+    log = log_source.read_log(spark, path)
+    end = log.agg(F.max("offset") + 1).first()[0]
+    for k in range(8):
+        consume_batch(log.filter(F.col("offset").between(k * end // 8, (k + 1) * end // 8 - 1)), ledger, "parts", k)
+    handled = ledger.rows().groupBy("outcome").agg(F.count("*").alias("records"), F.countDistinct("commit").alias("batches"))
+    folders = ledger.manifest()["tables"]
+    counts = {"ids": ledger.processed().count(), "frames": ledger.frames().count()}
+    return handled.select("outcome", "records", *[F.lit(n).cast("bigint").alias(f"all_{k}") for k, n in counts.items()], F.lit(len(folders["rows"]) <= 4).alias("few_folders"))
+
+
 def stream_lag(spark, sf):
     """How far the job is behind after half the log: its position comes from the ledger."""
     path, ledger = work_dir(spark, "log"), Ledger(spark, work_dir(spark, "ledger"))
@@ -119,7 +152,14 @@ def stream_lag(spark, sf):
     return reconcile.lag_by_partition(ends, ledger.read_positions()).withColumnRenamed("partition", "part")
 
 
+_GIVEN_UP_SQL = t.BASE_SQL + f""",
+spoiled AS (SELECT * REPLACE (CASE WHEN kind = 'ok' AND off IN ({", ".join(map(str, _ALWAYS))}) THEN 'given_up' ELSE kind END AS kind) FROM log)""" + C[len(t.BASE_SQL) :].replace("FROM log", "FROM spoiled")
+
 QUERIES = {
+    "retry_stream": (retry_stream, f"""WITH {_GIVEN_UP_SQL} SELECT part, off, outcome, CASE kind WHEN 'ok' THEN NULL WHEN 'unknown_type' THEN 'unknown_version' WHEN 'given_up' THEN 'retries_exhausted' ELSE 'decode' END AS reason,
+        CASE kind WHEN 'given_up' THEN {_TRIES + 1} ELSE 0 END AS attempts FROM classified"""),
+    "compact_ledger": (compact_ledger, f"""WITH {C} SELECT outcome, count(*) AS records, (SELECT count(*) FROM history) AS all_ids, (SELECT count(*) FROM history) AS all_frames, true AS few_folders
+        FROM classified GROUP BY outcome"""),
     "run_stream": (run_stream_query, f"""WITH {C} SELECT part, off, outcome, CASE kind WHEN 'corrupt' THEN NULL WHEN 'unknown_type' THEN 'vehicle.door' ELSE 'vehicle.position' END AS event_type,
         CASE WHEN kind <> 'corrupt' THEN vehicle_id END AS vehicle_id, CASE WHEN kind <> 'corrupt' THEN event_ts END AS event_ts FROM classified"""),
     "stream_current": (stream_current, CURRENT_SQL.replace(", ingested_at AS updated_at", "")),

@@ -1,17 +1,23 @@
-"""The streaming job: log -> verdicts -> ledger -> snapshot -> live frames.
+"""The streaming job: log -> verdicts -> ledger -> live frames.
 
 At-least-once delivery with an idempotent sink: the checkpoint advances after ``foreachBatch``
-returns, and a redone batch overwrites its own commit. No watermark: a late report is kept, counted
-and published, it only does not move the current state.
+returns, and a batch that the ledger has recorded is not applied again. No watermark: a late report is kept,
+counted and published, it only does not move the current state.
+
+A writer beside the ledger (``deliver``) may fail for single records. A record that failed for a passing reason
+is tried again with the next batch, and everything behind it in its partition waits in the ledger's queue, so
+the order within a partition holds and what was committed is a prefix. When a record has been tried too often, or its failure
+cannot pass, it is refused and the partition goes on.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,10 +28,56 @@ from fleetfold.streaming.ledger import Ledger
 
 log = logging.getLogger(__name__)
 
-# Above this many records a batch's ids are joined to the ledger by a shuffle, below it broadcast.
-SMALL_BATCH = 1_000_000
-
 Hook = Callable[[str], None]
+# Gets the records whose turn it is (judged) and returns those it could not write: topic, partition, offset,
+# transient, error. Records may be handed over more than once, so writing them twice must do no harm.
+Deliver = Callable[[DataFrame], DataFrame]
+WHERE = ["topic", "partition"]
+RETRY_RUN = "retries"
+
+
+def backoff(tries: Column, base_seconds: float) -> Column:
+    """Seconds until a record is tried again: doubled every time."""
+    return F.lit(base_seconds) * F.pow(F.lit(2.0), tries - 1)
+
+
+def held_back(records: DataFrame, now: datetime) -> DataFrame:
+    """Add ``held``: records at or behind the first one of their partition that is not due yet."""
+    stops = records.filter(F.col("due_at") > F.lit(now).cast("timestamp")).groupBy(*WHERE).agg(F.min("offset").alias("_stop"))
+    return records.join(stops, WHERE, "left").withColumn("held", F.coalesce(F.col("offset") >= F.col("_stop"), F.lit(False))).drop("_stop")
+
+
+def delivered(judged: DataFrame, failures: DataFrame, max_retries: int, base_seconds: float, now: datetime) -> DataFrame:
+    """Judged records after delivery: ``held`` ones wait, given up ones are refused, ``tries`` and ``due_at`` are set.
+
+    A partition stops at its first record that is to be tried again. What lies behind it has not had its turn,
+    whatever the writer did with it: it keeps its tries and is handed over again.
+    """
+    failed = failures.groupBy(*classify.POSITION_KEY).agg(F.min("transient").alias("transient"), F.first("error").alias("_error")).withColumn("_failed", F.lit(True))
+    rows = judged.join(failed, classify.POSITION_KEY, "left").withColumn("tries", F.col("tries") + F.coalesce(F.col("_failed").cast("int"), F.lit(0)))
+    verdicts = classify.retry_budget(rows.filter("_failed").select(*classify.POSITION_KEY, "transient", F.col("tries").alias("attempts")), max_retries)
+    verdicts = verdicts.select(*classify.POSITION_KEY, "verdict", F.col("reason").alias("_given_up"))
+    rows = rows.join(verdicts, classify.POSITION_KEY, "left")
+    stops = rows.filter("verdict = 'retry'").groupBy(*WHERE).agg(F.min("offset").alias("_stop"))
+    rows = rows.join(stops, WHERE, "left").withColumn("held", F.col("held") | F.coalesce(F.col("offset") >= F.col("_stop"), F.lit(False)))
+    due = F.timestamp_add("MICROSECOND", (backoff(F.col("tries"), base_seconds) * 1_000_000).cast("bigint"), F.lit(now).cast("timestamp"))
+    behind = F.coalesce(F.col("offset") > F.col("_stop"), F.lit(False))
+    out = rows.withColumns(
+        {
+            "tries": F.when(behind, F.col("tries") - F.coalesce(F.col("_failed").cast("int"), F.lit(0))).otherwise(F.col("tries")),
+            "due_at": F.when((F.col("verdict") == "retry") & ~behind, due).otherwise(F.col("due_at")),
+            "reason": F.coalesce("_given_up", "reason"),
+            "error": F.when(F.col("_given_up").isNotNull(), F.col("_error")).otherwise(F.col("error")),
+            "attempts": F.when(F.col("_given_up").isNotNull(), F.col("tries")).otherwise(F.col("attempts")),
+        }
+    )
+    return out.drop("transient", "_error", "_failed", "verdict", "_given_up", "_stop")
+
+
+def _positions(records: DataFrame) -> list[tuple[str, int, int]]:
+    """Next offset of every partition: where it is held back, else behind its last record. A row per partition."""
+    ends = records.groupBy(*WHERE).agg(F.min(F.when(F.col("held"), F.col("offset"))).alias("stop"), (F.max("offset") + 1).alias("end"))
+    return [(r["topic"], r["partition"], r["end"] if r["stop"] is None else r["stop"]) for r in ends.collect()]
 
 
 def consume_batch(
@@ -36,51 +88,85 @@ def consume_batch(
     consumer_id: str = "fleetfold",
     publish: Callable[[DataFrame], None] | None = None,
     after: Hook | None = None,
-) -> int:
-    """Handle one batch of log records and return its commit.
+    deliver: Deliver | None = None,
+    max_retries: int = classify.MAX_RETRIES,
+    retry_seconds: float = 0.2,
+    now: datetime | None = None,
+) -> None:
+    """Handle one batch of log records.
 
     The order of writes is the guarantee: the copy on the dead-letter topic survives the ledger being
-    unreachable, so it comes first; frames come last, so none is ever seen without a row behind it,
+    unreachable, so it comes first; frames are published last, so none is ever seen without a row behind it,
     and losing one is harmless. ``after`` is called with the name of each finished step (tests use it
     to fail between them).
     """
     step = after or (lambda name: None)
-    commit, processed_at = ledger.begin(run_id, batch_id)
+    base = ledger.manifest()
+    if ledger.handled(run_id, batch_id, base):
+        return
+    now = now or datetime.now(timezone.utc)
     step("begin")
-    judged = judge(records.select(*columns(LOG))).persist(StorageLevel.MEMORY_AND_DISK)
+    waiting = records.select(*columns(LOG), F.lit(0).alias("tries"), F.lit(None).cast("timestamp").alias("due_at"))
+    if base["queue"]:
+        waiting = waiting.unionByName(ledger.queue(base))
+    everything = held_back(waiting, now) if base["queue"] else waiting.withColumn("held", F.lit(False))
+    judged = judge(everything).persist(StorageLevel.MEMORY_AND_DISK)
+    extra = None
     try:
-        small = judged.count() <= SMALL_BATCH
-        known = ledger.processed(before=commit)
-        outcome = classify.classify(judged, known, ledger.current(before=commit), small_batch=small)
-
-        refused = judged.filter(F.col("reason").isNotNull())
-        ledger.write("dlq_topic", commit, refused.select("key", "value"))
+        if deliver is not None:
+            failures = deliver(judged.filter("NOT held AND reason IS NULL")).select(*classify.POSITION_KEY, "transient", "error")
+            extra = delivered(judged, failures, max_retries, retry_seconds, now).persist(StorageLevel.MEMORY_AND_DISK)
+        settled = judged if extra is None else extra
+        positions = _positions(settled)
+        queue = settled.filter("held") if deliver is not None or base["queue"] else None
+        if queue is not None and queue.isEmpty():
+            queue = None
+        todo = settled.filter("NOT held")
+        firsts = classify.first_occurrence(todo.filter(F.col("reason").isNull()))
+        known = ledger.known(firsts, todo.count(), base)
+        outcome = classify.classify(todo, known, ledger._current(base))
+
+        refused = todo.filter(F.col("reason").isNotNull())
+        refused.select("key", "value").write.mode("overwrite").parquet(f"{ledger.root}/dlq_topic/commit={run_id}-{batch_id}")
         step("dlq_topic")
         stamped = outcome.withColumns(
             {
-                "processed_at": F.lit(processed_at).cast("timestamp"),
+                "processed_at": F.lit(now).cast("timestamp"),
                 "consumer_id": F.lit(consumer_id),
                 "key": F.when(F.col("outcome") == "dead", F.col("key")),
                 "value": F.when(F.col("outcome") == "dead", F.col("value")),
             }
         )
-        ledger.write("rows", commit, stamped.select(*columns(LEDGER)))
-        step("rows")
+        stored = ledger.commit_batch(base, run_id, batch_id, stamped.select(*columns(LEDGER)), queue, positions, step, with_frames=publish is None)
     finally:
         judged.unpersist()
-
-    ledger.snapshot(commit)
-    step("snapshot")
-    frames = state.fanout_frames(ledger.committed(commit))
-    try:
-        if publish is not None:
-            publish(frames)
-        else:
-            ledger.write("frames", commit, frames.select(state.frame_json(frames).alias("frame")))
-    except Exception:  # the rows are durable; a viewer that missed a frame resumes from history
-        log.warning("publishing frames of commit %s failed", commit, exc_info=True)
+        if extra is not None:
+            extra.unpersist()
+    if publish is not None:
+        try:
+            publish(state.fanout_frames(stored))
+        except Exception:  # the rows are durable; a viewer that missed a frame resumes from history
+            log.warning("publishing frames of batch %s failed", batch_id, exc_info=True)
     step("frames")
-    return commit
+    ledger.compact(after)
+
+
+def drain_retries(ledger: Ledger, deliver: Deliver, wait: Callable[[float], None] | None = None, **how) -> int:
+    """Try what waits until nothing does; returns the rounds it took. Ends, as every record's tries are limited.
+
+    Time is taken from the records' own due times, so nothing sleeps unless ``wait`` is given seconds to.
+    """
+    rounds = 0
+    while (manifest := ledger.manifest())["queue"]:
+        due = ledger.queue(manifest).agg(F.max(F.unix_micros("due_at"))).first()[0]
+        now = datetime.now(timezone.utc)
+        later = now if due is None else max(now, datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=due + 1))
+        if wait is not None:
+            wait((later - now).total_seconds())
+        nothing = ledger.spark.createDataFrame([], LOG)
+        consume_batch(nothing, ledger, RETRY_RUN, manifest["runs"].get(RETRY_RUN, -1) + 1, deliver=deliver, now=later, **how)
+        rounds += 1
+    return rounds
 
 
 def _run_id(spark: SparkSession, checkpoint: str) -> str:
@@ -96,6 +182,8 @@ def run_stream(
     available_now: bool = True,
     publish: Callable[[DataFrame], None] | None = None,
     after: Hook | None = None,
+    deliver: Deliver | None = None,
+    max_retries: int = classify.MAX_RETRIES,
 ) -> StreamingQuery:
     """Start the job. ``available_now`` drains what is there and stops, else it keeps running."""
 
@@ -104,7 +192,7 @@ def run_stream(
         # job over it, and wants the measured joins and skew handling of one.
         batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
         run = _run_id(batch.sparkSession, checkpoint)
-        consume_batch(batch, ledger, run, batch_id, consumer_id, publish, after)
+        consume_batch(batch, ledger, run, batch_id, consumer_id, publish, after, deliver, max_retries)
 
     writer = source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:
@@ -120,13 +208,17 @@ def replay(
     event_id: str | None = None,
     limit: int | None = None,
     everything: bool = False,
+    requested: DataFrame | None = None,
 ) -> DataFrame:
     """Put dead letters back on their topic, then mark them. Returns every entry with its refusal.
 
+    ``requested`` (event_id) names entries, as ``event_id`` names one; ids that are not there are refused as such.
     Publish first: a crash in between republishes an event again, which the ledger absorbs; the other
     order could lose it. Ineligible entries do not stop the rest.
     """
-    plan = deadletters.plan_replay(ledger.dead_letters(), limit, event_id, everything).persist(StorageLevel.MEMORY_AND_DISK)
+    found = ledger.dead_letters()
+    plan = deadletters.plan_requests(found, requested) if requested is not None else deadletters.plan_replay(found, limit, event_id, everything)
+    plan = plan.persist(StorageLevel.MEMORY_AND_DISK)
     ready = deadletters.eligible(plan)
     produce(deadletters.republished(ready))
     ledger.mark_replayed(ready, at, operator)

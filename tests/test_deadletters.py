@@ -73,7 +73,8 @@ def test_plan_refuses_what_cannot_be_replayed_and_keeps_the_rest(spark):
     plan = {r["event_id"]: r["refusal"] for r in dl.plan_replay(dead).collect()}
     assert plan == {event_id(1): None, event_id(2): "no stored payload"}
     assert dl.plan_replay(dead, event_id=event_id(3)).first()["refusal"] == "already replayed"
-    assert dl.plan_replay(dead, event_id=event_id(9)).count() == 0
+    missing = dl.plan_replay(dead, event_id=event_id(9))
+    assert [r["refusal"] for r in missing.collect()] == ["no such dead letter"] and dl.eligible(missing).count() == 0
     assert dl.eligible(dl.plan_replay(dead)).count() == 1
 
 
