@@ -107,13 +107,15 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def centroids(docs: DataFrame, idf: np.ndarray, size: int = SAMPLE, clusters: int = CLUSTERS) -> pd.DataFrame:
-    """Centroids of each language of docs (doc_id, text, lang), from at most about ``size`` texts of each."""
+    """Centroids of each language of docs (text, lang), from at most about ``size`` different texts of each."""
     counts = docs.groupBy("lang").agg(F.count("*").alias("_n"))
-    mark = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.join(F.broadcast(counts), "lang").filter(mark < F.lit(float(size)) / F.greatest("_n", F.lit(size)))
+    # Equal texts are chosen together and then count once, however often a row is repeated.
+    mark = F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    some = docs.join(counts, "lang").filter(mark < F.lit(float(size)) / F.greatest("_n", F.lit(size)))
+    chosen = some.groupBy("lang", F.xxhash64("text").alias("_key")).agg(F.min("text").alias("text"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", kind="stable")
+        rows = rows.sort_values("_key", kind="stable")
         found = [v for v in (vector(t, idf) for t in rows["text"]) if v is not None]
         if not found:
             return pd.DataFrame({"lang": [], "number": [], "centroid": [], "radius": []})
@@ -125,7 +127,7 @@ def centroids(docs: DataFrame, idf: np.ndarray, size: int = SAMPLE, clusters: in
         radius = [float(np.quantile(apart[own == i], REJECT_QUANTILE)) * REJECT_SLACK if (own == i).any() else 0.0 for i in range(len(c))]
         return pd.DataFrame({"lang": key[0], "number": range(len(c)), "centroid": [r.tolist() for r in c], "radius": radius})
 
-    found = stored(chosen.select("lang", "doc_id", "text").groupBy("lang").applyInPandas(run, _MODEL), "centroids")
+    found = stored(chosen.groupBy("lang").applyInPandas(run, _MODEL), "centroids")
     return found.orderBy("lang", "number").toPandas()
 
 

@@ -65,11 +65,16 @@ class WordEncoder:
         self._model = self._tokenizer.model
         self._chunks: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
-        # Where small ASCII letters reach the model as they are, the steps before it can be left out.
-        self._direct = all(self._whole(w) == self._plain(w) for w in ("a", "the", "word", "jumps", "quixotically", "zzyzx"))
+        # What the model gets for a small Latin letter, where that is all the steps before it do: words of such
+        # letters go to the model at once.
+        letters = [chr(c) for c in range(0x180) if self._PARTS.fullmatch(chr(c)) and chr(c).islower()]
+        before = self._tokenizer.pre_tokenizer
+        self._mapped = {ord(c): "".join(piece for piece, _ in before.pre_tokenize_str(c)) if before else c for c in letters}
+        self._direct = {c for c in letters if all(self._whole(w) == self._plain(w) for w in (c, f"x{c}y", f"the{c}", f"{c}the"))}
 
     def _whole(self, word: str) -> bytes:
-        return np.array([t.id for t in self._model.tokenize(word)], dtype=self.dtype).tobytes()
+        mapped = word if word.isascii() else word.translate(self._mapped)
+        return np.array([t.id for t in self._model.tokenize(mapped)], dtype=self.dtype).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -77,7 +82,7 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         found = self._words.get(word)
         if found is None:
-            found = self._whole(word) if self._direct and word.isascii() and word.isalpha() and word.islower() else self._plain(word)
+            found = self._whole(word) if self._direct.issuperset(word) else self._plain(word)
             if len(self._words) < WORDS:
                 self._words[word] = found
         return found
@@ -88,7 +93,7 @@ class WordEncoder:
             found = self._plain(chunk)
         else:
             letters, marks = parts.groups()
-            found = self._word(letters.lower() if letters.isascii() else letters) + (self._word(marks) if marks else b"")
+            found = self._word(letters.lower()) + (self._word(marks) if marks else b"")
         if len(self._chunks) < CHUNKS:
             self._chunks[chunk] = found
         return found

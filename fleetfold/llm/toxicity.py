@@ -44,8 +44,8 @@ def features(text: str | None) -> set[str]:
     return words.union(*({f"{w[:n]}-" for w in words if len(w) > n} for n in STEMS))
 
 
-def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], size: int = SAMPLE) -> DataFrame:
-    """(row, fold, y, words): at most about ``size`` labelled documents, chosen and folded by hash."""
+def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], size: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """(row, fold, y, words) of at most about ``size`` labelled documents, chosen and folded by hash, and the vocabulary (word, code)."""
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c.cast("double")).alias(n) for n, c in categories.items()])
     known = known.filter(F.coalesce(*categories).isNotNull())
     share = size / max(size, known.count())
@@ -58,30 +58,48 @@ def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], si
     rows = stored(texts.select(F.col("doc_id").alias("row"), fold.alias("fold"), F.array(*categories).alias("y"), words("text").alias("words")), "words")
     # Most words of a text are in no other; they can teach nothing and would fill the fits' memory.
     each = rows.select("row", F.explode("words").alias("word"))
-    common = each.groupBy("word").agg(F.count("*").alias("_n")).filter(F.col("_n") >= SEEN).select("word")
-    shared = each.join(common, "word").groupBy("row").agg(F.sort_array(F.collect_list("word")).alias("words"))
-    none = F.array().cast("array<string>")
-    return rows.drop("words").join(shared, "row", "left").withColumn("words", F.coalesce("words", none))
+    common = stored(each.groupBy("word").agg(F.count("*").alias("_n")).filter(F.col("_n") >= SEEN).select("word", F.xxhash64("word").alias("code")), "vocabulary")
+    # Fits get numbers, not texts; what a number stands for is looked up for the few that a model keeps.
+    shared = each.join(common, "word").groupBy("row").agg(F.sort_array(F.collect_list("code")).alias("words"))
+    none = F.array().cast("array<bigint>")
+    return rows.drop("words").join(shared, "row", "left").withColumn("words", F.coalesce("words", none)), common
 
 
-def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 150) -> np.ndarray:
+class Matrix:
+    """Rows of features that are present or not, and dense columns beside them; a constant is the last column.
+
+    Only the places of ones are kept, so a matrix takes a few bytes for every word of its rows.
+    """
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, dense: np.ndarray, width: int):
+        self.row, self.column, self.width = row.astype(np.int32), column.astype(np.int32), width
+        self.dense = np.concatenate([dense, np.ones((len(dense), 1))], axis=1)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[: self.width][self.column], minlength=len(self.dense)) + self.dense @ w[self.width :]
+
+    def transposed_dot(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, v[self.row], minlength=self.width), self.dense.T @ v])
+
+
+def _fit(x: Matrix, y: np.ndarray, penalty: float = 1.0, steps: int = 150) -> np.ndarray:
     """Logistic regression with an L2 penalty, by accelerated gradient steps; the last weight is the constant.
 
     Both classes weigh the same, so the constant does not drown a rare class.
     """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    v = np.ones(x.shape[1], np.float32)
+    size = x.width + x.dense.shape[1]
+    v = np.ones(size)
     for _ in range(20):
-        v = x.T @ (weight.astype(np.float32) * (x @ v))
+        v = x.transposed_dot(weight * x.dot(v))
         v /= np.linalg.norm(v) + 1e-9
-    bound = 0.25 * float(np.linalg.norm(x.T @ (weight.astype(np.float32) * (x @ v)))) + penalty
-    shrink = np.full(x.shape[1], penalty, np.float32)
+    bound = 0.25 * float(np.linalg.norm(x.transposed_dot(weight * x.dot(v)))) + penalty
+    shrink = np.full(size, penalty)
     shrink[-1] = 0
-    w = look = np.zeros(x.shape[1], np.float32)
+    w = look = np.zeros(size)
     for k in range(steps):
-        p = 1 / (1 + np.exp(-(x @ look)))
-        new = look - (x.T @ (weight * (p - y)).astype(np.float32) + shrink * look) / bound
+        p = 1 / (1 + np.exp(-x.dot(look)))
+        new = look - (x.transposed_dot(weight * (p - y)) + shrink * look) / bound
         look = new + k / (k + 3) * (new - w)
         w = new
     return w
@@ -97,53 +115,45 @@ def _select(codes: np.ndarray, row: np.ndarray, y: np.ndarray, size: int) -> np.
     return np.sort(best[score[best] >= 0])
 
 
-def _matrix(codes: np.ndarray, row: np.ndarray, chosen: np.ndarray, earlier: np.ndarray, size: int) -> np.ndarray:
-    column = np.full(size, -1)
+def _matrix(codes: np.ndarray, row: np.ndarray, chosen: np.ndarray, earlier: np.ndarray, size: int) -> Matrix:
+    column = np.full(size, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     at = column[codes]
-    x = np.zeros((len(earlier), len(chosen) + earlier.shape[1]), np.float32)
-    x[row[at >= 0], at[at >= 0]] = 1
-    x[:, len(chosen) :] = earlier
-    return x
+    return Matrix(row[at >= 0], at[at >= 0], earlier, len(chosen))
 
 
 def _train(category: int, names: list[str]):
-    """For one fold: fit on the other folds and predict it; fold -1 fits on all rows and keeps the model.
-
-    Words stay in Arrow and are counted by their place in a dictionary, so a fit holds numbers, not texts.
-    """
+    """For one fold: fit on the other folds and predict it; fold -1 fits on all rows and keeps the model, its words as codes."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         fold = key[0].as_py()
-        rows = rows.sort_by("row").combine_chunks()
-        y = np.array([v[category] for v in rows["y"].to_pylist()], dtype=float)
-        earlier = np.array(rows["earlier"].to_pylist(), dtype=np.float32).reshape(len(rows), category)
-        held = rows["own_fold"].to_numpy() == fold
-        lists = rows["words"].chunk(0) if rows["words"].num_chunks else pa.array([], pa.list_(pa.string()))
-        # In order of the words, so that ties between features do not depend on how rows arrived.
-        words = lists.flatten().dictionary_encode()
-        vocabulary = words.dictionary
-        place = np.argsort(np.argsort(np.array(vocabulary.to_pylist(), dtype=object), kind="stable"), kind="stable")
-        codes = place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+        ids = rows["row"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), dtype=np.int32)
+        place[order] = np.arange(len(ids))
+        y = np.array([v[category] for v in rows["y"].to_pylist()], dtype=float)[order]
+        earlier = np.array(rows["earlier"].to_pylist(), dtype=float).reshape(len(rows), category)[order]
+        held = rows["own_fold"].to_numpy()[order] == fold
+        # Features in order of their codes, so that ties between them do not depend on how rows arrived.
+        lengths = rows["words"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        vocabulary, codes = np.unique(rows["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        codes, row = codes.astype(np.int32), np.repeat(place, lengths)
         train = ~held & ~np.isnan(y)
         if len(set(y[train] > 0)) < 2:
-            chosen, weights = np.zeros(0, np.int64), np.zeros(category + 1, np.float32)
+            chosen, weights = np.zeros(0, np.int64), np.zeros(category + 1)
             weights[-1] = 30.0 if train.any() and y[train].min() > 0 else -30.0
         else:
-            seen = train[row]
-            number = np.cumsum(train) - 1
-            chosen = _select(codes[seen], number[row[seen]], y[train], len(vocabulary))
-            weights = _fit(_matrix(codes[seen], number[row[seen]], chosen, earlier[train], len(vocabulary)), y[train])
+            seen, number = train[row], np.cumsum(train, dtype=np.int32) - 1
+            own, at = codes[seen], number[row[seen]]
+            chosen = _select(own, at, y[train], len(vocabulary))
+            weights = _fit(_matrix(own, at, chosen, earlier[train], len(vocabulary)), y[train])
         if fold < 0:
-            own = np.argsort(place)[chosen] if len(chosen) else []
-            labels = [*vocabulary.take(pa.array(own, pa.int64())).to_pylist(), *[f"\0{n}" for n in names[:category]], ""]
+            labels = [*map(str, vocabulary[chosen].tolist()), *[f"\0{n}" for n in names[:category]], ""]
             return pa.table({"fold": pa.array([-1] * len(labels), pa.int32()), "kind": ["weight"] * len(labels), "name": labels, "value": weights.astype(float)})
-        seen, number = held[row], np.cumsum(held) - 1
-        x = _matrix(codes[seen], number[row[seen]], chosen, earlier[held], len(vocabulary))
-        p = 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))
-        ids = [str(r) for r in rows["row"].to_numpy()[held]]
-        return pa.table({"fold": pa.array([fold] * len(ids), pa.int32()), "kind": pa.array(["probability"] * len(ids), pa.string()), "name": pa.array(ids, pa.string()), "value": p.astype(float)})
+        seen, number = held[row], np.cumsum(held, dtype=np.int32) - 1
+        p = 1 / (1 + np.exp(-_matrix(codes[seen], number[row[seen]], chosen, earlier[held], len(vocabulary)).dot(weights)))
+        unseen = [str(r) for r in ids[order][held]]
+        return pa.table({"fold": pa.array([fold] * len(unseen), pa.int32()), "kind": pa.array(["probability"] * len(unseen), pa.string()), "name": pa.array(unseen, pa.string()), "value": p.astype(float)})
 
     return run
 
@@ -166,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], siz
     ``categories``: name -> column over ``labels``, in the order of the chain.
     """
     spark, names = docs.sparkSession, list(categories)
-    rows = stored(sample(docs, labels, categories, size), "sample")
+    rows, vocabulary = sample(docs, labels, categories, size)
+    rows = stored(rows, "sample")
     earlier = rows.select("row", F.array().cast("array<double>").alias("earlier"))
     chain, thresholds = [], {}
     for category in range(len(names)):
@@ -174,7 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], siz
         spread = ready.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(-1, FOLDS)])))
         out = spread.groupBy("fold").applyInArrow(_train(category, names), _MODEL)
         found = [(r.kind, r.name, r.value) for r in stored(out, "chain").collect()]
-        chain.append({name: value for kind, name, value in found if kind == "weight"} or {"": -30.0})
+        weights = {name: value for kind, name, value in found if kind == "weight"} or {"": -30.0}
+        # The words of a model: FEATURES at the most.
+        codes = spark.createDataFrame([(int(n),) for n in weights if n and n[0] != "\0"], "code BIGINT")
+        meant = {str(r["code"]): r["word"] for r in vocabulary.join(F.broadcast(codes), "code").collect()}
+        chain.append({meant.get(name, name): value for name, value in weights.items()})
         unseen = {int(n): v for k, n, v in found if k == "probability"}
         truth = {r.row: r.y[category] for r in rows.select("row", "y").collect()}
         ids = sorted(i for i in unseen if truth[i] is not None)

@@ -31,7 +31,7 @@ def labelled(spark):
 def test_null_labels_leave_the_other_categories_alone(spark):
     rows, labels = labelled(spark)
     docs = spark.createDataFrame([r[:3] for r in rows] + [(0, "a second text of this id", "s")], "doc_id LONG, text STRING, source STRING")
-    sampled = toxicity.sample(docs, labels, toxicity.given_categories())
+    sampled, _ = toxicity.sample(docs, labels, toxicity.given_categories())
     assert sampled.count() == 240 and sampled.filter("y[0] IS NULL").count() == 160
     got = toxicity.classify(docs, labels, toxicity.given_categories(), "toxic").collect()
     assert all(r.toxic == ("vilegrim" in r.text) for r in got if "plain" in r.text)
