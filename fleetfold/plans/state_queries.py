@@ -10,6 +10,7 @@ from fleetfold.plans import telemetry as t
 from fleetfold.plans.log_queries import CURRENT_SQL, _halves, _SPLIT
 from fleetfold.session import work_dir
 from fleetfold.sources import tables
+from fleetfold.streaming.timeline import Timeline
 
 C = t.CLASSIFIED_SQL
 NOW = "2024-01-30 12:00:00"
@@ -162,6 +163,26 @@ def resume_clients(spark, sf):
     return _resume(spark, sf)[1].select("client_id", "event_id", "event_ts", "frame_no")
 
 
+def _timeline(spark, sf):
+    """The history as a stored timeline, added in two parts that share blocks."""
+    timeline = Timeline(spark, work_dir(spark, "timeline"), 6 * 3600)
+    hist = t.stored_history(spark, sf)
+    for odd in (0, 1):
+        timeline.append(hist.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == odd))
+    return timeline
+
+
+def resume_indexed(spark, sf):
+    """As ``resume_clients``, from stored positions."""
+    return _timeline(spark, sf).resume(_clients(spark, sf), F.lit(NOW).cast("timestamp"), WINDOW_SECONDS, LIMIT)[1].select("client_id", "event_id", "event_ts", "frame_no")
+
+
+def positions_indexed(spark, sf):
+    """As ``positions_since``, from stored positions."""
+    found = _timeline(spark, sf).since("00000000-0000-0000-0000-000000000000", F.lit("2024-01-10 00:00:00").cast("timestamp"), 1000)
+    return found.select("event_id", "vehicle_id", "event_ts", "speed_kph", "sequence")
+
+
 def positions_since(spark, sf):
     after = F.lit("2024-01-10 00:00:00").cast("timestamp")
     found = resume.positions_since(t.history(spark, sf), after, "00000000-0000-0000-0000-000000000000", 1000)
@@ -200,7 +221,10 @@ QUERIES = {
     "resume_point": (resume_point, f"WITH {C}, {_CLIENTS_SQL} SELECT client_id, last_event_id, event_ts FROM points"),
     "resume_verdict": (resume_verdict, f"""WITH {C}, {_RESUME_SQL}, counted AS (SELECT client_id, count(*) AS frames FROM frames GROUP BY client_id)
         SELECT j.client_id, verdict, coalesce(frames, 0) AS frames FROM judged j LEFT JOIN counted c ON j.client_id = c.client_id"""),
+    "resume_indexed": (resume_indexed, f"WITH {C}, {_RESUME_SQL} SELECT client_id, event_id, event_ts, frame_no FROM frames"),
     "resume_clients": (resume_clients, f"WITH {C}, {_RESUME_SQL} SELECT client_id, event_id, event_ts, frame_no FROM frames"),
+    "positions_indexed": (positions_indexed, f"""WITH {C} SELECT event_id, vehicle_id, event_ts, speed_kph, sequence FROM history
+        WHERE event_ts > TIMESTAMP '2024-01-10 00:00:00' OR (event_ts = TIMESTAMP '2024-01-10 00:00:00' AND event_id > '00000000-0000-0000-0000-000000000000') ORDER BY event_ts, event_id LIMIT 1000"""),
     "positions_since": (positions_since, f"""WITH {C} SELECT event_id, vehicle_id, event_ts, speed_kph, sequence FROM history
         WHERE event_ts > TIMESTAMP '2024-01-10 00:00:00' OR (event_ts = TIMESTAMP '2024-01-10 00:00:00' AND event_id > '00000000-0000-0000-0000-000000000000') ORDER BY event_ts, event_id LIMIT 1000"""),
 }

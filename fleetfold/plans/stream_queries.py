@@ -11,7 +11,8 @@ from fleetfold.plans import telemetry as t
 from fleetfold.plans.state_queries import CURRENT_SQL
 from fleetfold.session import work_dir
 from fleetfold.sources import log as log_source
-from fleetfold.streaming.consume import consume_batch, drain_retries, replay, run_stream
+from fleetfold.sources import segments
+from fleetfold.streaming.consume import consume_batch, consume_log, drain_retries, replay, run_stream
 from fleetfold.streaming.ledger import Ledger
 
 C = t.CLASSIFIED_SQL
@@ -140,16 +141,41 @@ def compact_ledger(spark, sf):
     return handled.select("outcome", "records", *[F.lit(n).cast("bigint").alias(f"all_{k}") for k, n in counts.items()], F.lit(len(folders["rows"]) <= 4).alias("few_folders"))
 
 
-def stream_lag(spark, sf):
-    """How far the job is behind after half the log: its position comes from the ledger."""
-    path, ledger = work_dir(spark, "log"), Ledger(spark, work_dir(spark, "ledger"))
+def _halves(spark, sf):
     log = t.raw_log(spark, sf)
     half = F.floor(log.select((F.max("offset") + 1) / 2).scalar())
-    log_source.write_log(log.filter(F.col("offset") < half).repartition(FILES), path)
-    _drain(spark, ledger, path)
-    log_source.write_log(log.filter(F.col("offset") >= half).repartition(FILES), path)
-    ends = reconcile.topic_offsets(log_source.read_log(spark, path))
-    return reconcile.lag_by_partition(ends, ledger.read_positions()).withColumnRenamed("partition", "part")
+    return log.filter(F.col("offset") < half), log.filter(F.col("offset") >= half)
+
+
+def stream_lag(spark, sf):
+    """How far the job is behind after half the log: positions come from the manifest, ends from the index; no record is read."""
+    path, ledger = work_dir(spark, "log"), Ledger(spark, work_dir(spark, "ledger"))
+    first, second = _halves(spark, sf)
+    segments.append(first, path)
+    consume_log(spark, path, ledger, 10_000_000)
+    segments.append(second, path)
+    return reconcile.lag_by_partition(segments.ends(spark, path), ledger.read_positions()).withColumnRenamed("partition", "part")
+
+
+def bounded_batches(spark, sf):
+    """The log of segments drained in micro-batches bounded by records, then read again from the start."""
+    path, ledger = work_dir(spark, "log"), Ledger(spark, work_dir(spark, "ledger"))
+    for half in _halves(spark, sf):
+        segments.append(half, path)
+    end = segments.ends(spark, path).agg(F.sum("records")).first()[0]
+    most = end // 2
+    sizes = consume_log(spark, path, ledger, most)
+    again = consume_log(spark, path, ledger, end * 100, "again", rewind=True)
+    out = ledger.rows().groupBy("outcome").agg(F.count("*").alias("records"))
+    return out.select("outcome", "records", F.lit(max(sizes) <= most and sum(sizes) == sum(again) == end).alias("bounded"))
+
+
+def segment_offsets(spark, sf):
+    """Ends and numbers of records of every partition, from the index of a log written in two appends."""
+    path = work_dir(spark, "log")
+    for half in _halves(spark, sf):
+        segments.append(half, path)
+    return segments.ends(spark, path).select("topic", F.col("partition").alias("part"), "end_offset", "records")
 
 
 _GIVEN_UP_SQL = t.BASE_SQL + f""",
@@ -160,6 +186,9 @@ QUERIES = {
         CASE kind WHEN 'given_up' THEN {_TRIES + 1} ELSE 0 END AS attempts FROM classified"""),
     "compact_ledger": (compact_ledger, f"""WITH {C} SELECT outcome, count(*) AS records, (SELECT count(*) FROM history) AS all_ids, (SELECT count(*) FROM history) AS all_frames, true AS few_folders
         FROM classified GROUP BY outcome"""),
+    "bounded_batches": (bounded_batches, f"""WITH {C} SELECT outcome, count(*) AS records, true AS bounded FROM (SELECT outcome FROM classified
+        UNION ALL SELECT CASE WHEN outcome = 'dead' THEN 'dead' ELSE 'duplicate' END FROM classified) GROUP BY outcome"""),
+    "segment_offsets": (segment_offsets, f"WITH {t.BASE_SQL} SELECT 'telemetry.raw' AS topic, part, max(off) + 1 AS end_offset, count(*) AS records FROM log GROUP BY part"),
     "run_stream": (run_stream_query, f"""WITH {C} SELECT part, off, outcome, CASE kind WHEN 'corrupt' THEN NULL WHEN 'unknown_type' THEN 'vehicle.door' ELSE 'vehicle.position' END AS event_type,
         CASE WHEN kind <> 'corrupt' THEN vehicle_id END AS vehicle_id, CASE WHEN kind <> 'corrupt' THEN event_ts END AS event_ts FROM classified"""),
     "stream_current": (stream_current, CURRENT_SQL.replace(", ingested_at AS updated_at", "")),

@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetfold.operators import classify, deadletters, state
 from fleetfold.operators.envelope import judge
 from fleetfold.schemas import LEDGER, LOG, columns
+from fleetfold.sources import segments
 from fleetfold.streaming.ledger import Ledger
 
 log = logging.getLogger(__name__)
@@ -169,6 +170,25 @@ def drain_retries(ledger: Ledger, deliver: Deliver, wait: Callable[[float], None
     return rounds
 
 
+def consume_log(spark: SparkSession, path: str, ledger: Ledger, max_records: int, run_id: str = "log", rewind: bool = False, **how) -> list[int]:
+    """Drain a log of segments in micro-batches of ``max_records`` at the most; returns the number of each.
+
+    Positions come from the ledger's manifest, so a batch and the position behind it are committed at once and
+    there is no checkpoint beside it. ``rewind`` reads from the beginning; what was handled is absorbed. Give it
+    a ``run_id`` of its own.
+    """
+    manifest = ledger.manifest()
+    positions: segments.Positions = {} if rewind else {(t, p): n for t, p, n in manifest["positions"]}
+    number, sizes = manifest["runs"].get(run_id, -1) + 1, []
+    while stops := segments.next_stops(spark, path, positions, max_records):
+        batch = segments.read(spark, path, {k: positions.get(k, 0) for k in stops}, stops)
+        sizes.append(batch.count())
+        consume_batch(batch, ledger, run_id, number, **how)
+        positions |= stops
+        number += 1
+    return sizes
+
+
 def _run_id(spark: SparkSession, checkpoint: str) -> str:
     """The id Spark gave the query when its checkpoint was created; a new checkpoint is a new run."""
     return spark.read.schema("id STRING").json(f"{checkpoint.rstrip('/')}/metadata").first()[0]
