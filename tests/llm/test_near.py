@@ -4,6 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from fleetfold.llm import near, simhash
@@ -105,3 +106,29 @@ def test_sets_larger_than_a_sketch_are_decided_exactly(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], SCHEMA)
     root = brute_components(texts)
     assert {r.doc_id for r in near.representatives(docs).collect()} == {min(i for i, r in enumerate(root) if r == c) for c in set(root)}
+
+
+def test_traits_estimate_the_similarity():
+    """Sets at 0.8 stay above the limit of the block check, sets at 0.65 below it."""
+    rng = np.random.default_rng(4)
+    for n in (20, 300, 5000):
+        for similarity, passes in ((0.8, True), (0.65, False)):
+            common = rng.integers(-(1 << 63), 1 << 63, size=int(n * similarity))
+            own = lambda k: rng.integers(-(1 << 63), 1 << 63, size=k)
+            rest = n - len(common)
+            a, b = (np.frombuffer(near.traits(np.concatenate([common, own(k)])), dtype=np.uint8) for k in (rest // 2, rest - rest // 2))
+            assert (np.count_nonzero(a == b) >= near.AGREE) == passes
+    assert len(near.traits(np.empty(0, np.int64))) == near.TRAITS
+
+
+def test_a_pair_belongs_to_the_first_bucket_it_shares():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 3, size=(500, near.GROUPS * near.PLACES))
+    b = np.where(rng.random(a.shape) < 0.7, a, 7)
+    for x, y, got in zip(a, b, near._first_table(a, b)):
+        shared = []
+        for group in range(near.GROUPS):
+            for at, mask in enumerate(near._TABLES):
+                if all(x[group * near.PLACES + i] == y[group * near.PLACES + i] for i in range(near.PLACES) if mask >> i & 1):
+                    shared.append(group * len(near._TABLES) + at)
+        assert got == min(shared, default=-1)
