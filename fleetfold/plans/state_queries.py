@@ -109,7 +109,7 @@ def viewer_state(spark, sf):
 
 
 def viewer_seam(spark, sf):
-    hist = t.history(spark, sf).select("event_id", "vehicle_id", "event_ts")
+    hist = t.stored_history(spark, sf).select("event_id", "vehicle_id", "event_ts")
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
     return state.viewer_seam(hist.filter(F.col("event_ts") >= cut), hist.filter(F.col("event_ts") <= cut + F.expr("INTERVAL 5 DAYS")))
 

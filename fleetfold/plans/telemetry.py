@@ -19,6 +19,8 @@ from fleetfold.sources.tables import read_history
 
 TOPIC = "telemetry.raw"
 PARTITIONS = 6
+# Events to a task: rendering and parsing them takes a task a minute or so.
+SPREAD_ROWS = 200_000
 
 BASE_SQL = """
 base AS (
@@ -88,13 +90,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than that (one small file, say).
+    """Give every core work, and no task more than about ``SPREAD_ROWS`` rows, however few splits the input has.
 
-    Rendering and parsing JSON is the expensive part of every plan here. A large input has splits
-    enough and is left alone.
+    Rendering and parsing JSON is the expensive part of every plan here, and a split of narrow columns holds
+    millions of rows. Rows are counted from the files' footers.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+    wanted = max(frame.sparkSession.sparkContext.defaultParallelism, -(-frame.count() // SPREAD_ROWS))
+    return frame.repartition(wanted) if frame.rdd.getNumPartitions() < wanted else frame
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """Rows written to the shared work folder and read again, for operators that read them more than once."""
+    path = work_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def naive(frame: DataFrame) -> DataFrame:
@@ -161,10 +170,21 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log judged and stored, since classification reads it three times; bytes are kept of refused records only."""
+    rows_ = judge(raw_log(spark, sf_dir))
+    refused = F.col("reason").isNotNull()
+    return stored(rows_.withColumns({"key": F.when(refused, F.col("key")), "value": F.when(refused, F.col("value"))}), "judged")
+
+
+def handled(done: DataFrame) -> DataFrame:
+    """Classified records as ledger rows, handled when they were logged."""
+    return done.withColumns({"processed_at": F.col("timestamp"), "consumer_id": F.lit("batch")})
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log judged and classified as one batch, handled when it was logged: the ledger rows."""
-    done = classify.classify(judge(raw_log(spark, sf_dir)))
-    return done.withColumns({"processed_at": F.col("timestamp"), "consumer_id": F.lit("batch")})
+    return handled(classify.classify(judged(spark, sf_dir)))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
