@@ -64,13 +64,16 @@ def read(spark: SparkSession, path: str, starts: Positions | None = None, stops:
     return inside.select(*columns(LOG))
 
 
-def next_stops(spark: SparkSession, path: str, positions: Positions, most: int) -> Positions:
+def next_stops(spark: SparkSession, path: str, positions: Positions, most: int, in_order: bool = False) -> Positions:
     """Where the next micro-batch of ``most`` records at the most ends in every partition; none when all is read.
 
-    It is dealt evenly to the partitions that have any; others end where they stand.
+    It is dealt evenly to the partitions that have any; others end where they stand. With ``in_order`` it is given to
+    the first partitions (of a log of one topic) that have any, so batches are consecutive ranges of (partition, offset).
 
     Offsets are unique in a partition, so a range of k offsets holds k records or fewer.
     """
+    if in_order:
+        return _next_in_order(spark, path, positions, most)
     left = {(r["topic"], r["partition"]): r["end_offset"] for r in ends(spark, path).collect()}
     behind = sorted(k for k, end in left.items() if positions.get(k, 0) < end)
     if not behind:
@@ -82,6 +85,29 @@ def next_stops(spark: SparkSession, path: str, positions: Positions, most: int)
     return {k: served.get(k, positions.get(k, 0)) for k in left}
 
 
+def _next_in_order(spark: SparkSession, path: str, positions: Positions, most: int) -> Positions:
+    """Whole files as long as their records fit, then as many offsets as records are left. A row per file comes to the driver."""
+    files: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
+    for row in index(spark, path).collect():
+        files.setdefault((row["topic"], row["partition"]), []).append((row["first"], row["last"] + 1, row["records"]))
+    stops, behind, left = {k: positions.get(k, 0) for k in files}, False, most
+    for key in sorted(files, key=lambda k: (k[1], k[0])):
+        at = stops[key]
+        unread = sorted((end, max(first, at), records) for first, end, records in files[key] if end > at)
+        behind = behind or bool(unread)
+        if not unread or not left:
+            continue
+        # At the most so many records lie before ``stop``.
+        bound = lambda stop: sum(min(records, min(stop, end) - low) for end, low, records in unread if low < stop)  # noqa: E731, B023
+        stop = max((end for end, _, _ in unread if bound(end) <= left), default=at)
+        rest = left - (bound(stop) if stop > at else 0)
+        beyond = [max(low, stop) for end, low, _ in unread if end > stop]
+        if beyond:
+            stop = min(min(beyond) + rest, unread[-1][0]) if rest else stop
+        stops[key], left = stop, rest if stop == unread[-1][0] else 0
+    return stops if behind else {}
+
+
 def _next_offsets(spark: SparkSession, path: str, positions: Positions, behind: list[tuple[str, int]]) -> Positions:
     """Next offset at which a file of each partition holds something: gaps between files are stepped over."""
     given = spark.createDataFrame([(*k, positions.get(k, 0)) for k in behind], "topic STRING, partition INT, _at BIGINT")

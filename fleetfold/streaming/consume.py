@@ -170,17 +170,20 @@ def drain_retries(ledger: Ledger, deliver: Deliver, wait: Callable[[float], None
     return rounds
 
 
-def consume_log(spark: SparkSession, path: str, ledger: Ledger, max_records: int, run_id: str = "log", rewind: bool = False, **how) -> list[int]:
+def consume_log(
+    spark: SparkSession, path: str, ledger: Ledger, max_records: int, run_id: str = "log", rewind: bool = False, in_order: bool = False, **how
+) -> list[int]:
     """Drain a log of segments in micro-batches of ``max_records`` at the most; returns the number of each.
 
     Positions come from the ledger's manifest, so a batch and the position behind it are committed at once and
     there is no checkpoint beside it. ``rewind`` reads from the beginning; what was handled is absorbed. Give it
-    a ``run_id`` of its own.
+    a ``run_id`` of its own. ``in_order`` drains partition after partition, so what becomes of every record is what one
+    batch of the whole log would have made of it, even where a key lies in several partitions.
     """
     manifest = ledger.manifest()
     positions: segments.Positions = {} if rewind else {(t, p): n for t, p, n in manifest["positions"]}
     number, sizes = manifest["runs"].get(run_id, -1) + 1, []
-    while stops := segments.next_stops(spark, path, positions, max_records):
+    while stops := segments.next_stops(spark, path, positions, max_records, in_order):
         batch = segments.read(spark, path, {k: positions.get(k, 0) for k in stops}, stops)
         sizes.append(batch.count())
         consume_batch(batch, ledger, run_id, number, **how)
