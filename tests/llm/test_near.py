@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetfold.llm import near, simhash
@@ -132,3 +133,19 @@ def test_a_pair_belongs_to_the_first_bucket_it_shares():
                 if all(x[group * near.PLACES + i] == y[group * near.PLACES + i] for i in range(near.PLACES) if mask >> i & 1):
                     shared.append(group * len(near._TABLES) + at)
         assert got == min(shared, default=-1)
+
+
+def test_a_block_gives_a_forest_not_its_pairs():
+    """Forty sets, each like every other: 39 links leave the block, and they connect all."""
+    rng = np.random.default_rng(7)
+    common = rng.integers(-(1 << 63), 1 << 63, size=95)
+    sets = [np.unique(np.concatenate([common, rng.integers(-(1 << 63), 1 << 63, size=5)])) for _ in range(40)]
+    rows = [(i, i, 0, few, i > 0, [0] * near.GROUPS * near.PLACES, near.traits(v), len(v), v) for few in (True, False) for i, v in enumerate(sets) if i or not few]
+    names = ["node", "root", "table", "few", "outside", "minima", "traits", "n", "sketch"]
+    types = dict(zip(names, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.list_(pa.int64()))))
+    found = near._pairs(pa.table({n: pa.array(list(c), types[n]) for n, c in zip(names, zip(*rows))}), 0.8).to_pylist()
+    root = list(range(40))
+    for link in found:
+        assert link["sure"] and brute_similarity(set(sets[link["a"]].tolist()), set(sets[link["b"]].tolist())) >= 0.8
+        root = [root[link["b"]] if r == root[link["a"]] else r for r in root]
+    assert len(found) == 39 and len(set(root)) == 1
