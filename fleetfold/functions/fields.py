@@ -4,6 +4,8 @@
 becomes the string ``"5"``. Reading a field as VARIANT keeps its JSON type, but costs far more than a
 plain read. So documents are read with plain types, and only a row whose text *could* hold a
 mistyped field (a cheap pattern decides) is parsed again with VARIANT fields and judged exactly.
+Most documents are written the way our own producers write them; one anchored pattern recognises those, and for
+them the plain read is all there is to do (``plain_form``).
 """
 
 from __future__ import annotations
@@ -82,6 +84,28 @@ def _suspicious(text: Column, kinds: dict[str, str]) -> Column:
     return escaped | text.rlike('"(?:' + "|".join(parts) + ")") if parts else escaped
 
 
+# Values that cannot be mistyped, out of range or escaped. No repetition may hold a group without a bound: the
+# matcher recurses there, and texts may have any length.
+_PLAIN_TEXT = r'"[ !#-\[\]-~]*+"'
+_PLAIN_NUMBER = r"-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,20})?(?:[eE][-+]?[0-9]{1,2})?"
+_NEXT = r'(?:,(?=")|(?=\}))'
+_PLAIN_VALUE = {
+    "string": _PLAIN_TEXT,
+    "time": _PLAIN_TEXT,
+    "any": r"\{(?:" + _PLAIN_TEXT + ":(?:" + _PLAIN_TEXT + "|" + _PLAIN_NUMBER + ")" + _NEXT + r"){0,16}\}",
+    "number": _PLAIN_NUMBER,
+    "integer": "(?:0|[1-9][0-9]{0,8})",
+    "uint64": "(?:0|[1-9][0-9]{0,17})",
+}
+
+
+def plain_form(kinds: dict[str, str]) -> str:
+    """Pattern of documents that need no further look: declared keys in their order, each once at the most, not null,
+    of the right type, in printable ASCII without escapes or white space between them. Others are judged exactly.
+    """
+    return r"^\{" + "".join(f'(?:"{n}":{_PLAIN_VALUE[k]}{_NEXT})?' for n, k in kinds.items()) + r"\}\z"
+
+
 def parse_document(rows: DataFrame, text: Column, kinds: dict[str, str]) -> DataFrame:
     """Parse a JSON object: add every declared field with its plain type, ``_broken`` and ``_unknown``.
 
@@ -93,10 +117,11 @@ def parse_document(rows: DataFrame, text: Column, kinds: dict[str, str]) -> Data
     rows = rows.withColumn("_text", F.coalesce(text, F.lit("")))
     doc = F.from_json("_text", plain, _STRICT)
     read = once(
-        rows.withColumn("_doc", doc),
+        rows.withColumns({"_doc": doc, "_plain": F.col("_text").rlike(plain_form(kinds))}),
         *[F.col("_doc")[n].alias(n) for n in names],
         (F.col("_doc").isNull() | F.col("_doc")["_malformed"].isNotNull()).alias("_bad_json"),
-        F.json_object_keys("_text").alias("_keys"),
+        F.when(F.col("_plain"), F.array_compact(F.array(*[F.when(F.col("_doc")[n].isNotNull(), F.lit(n)) for n in names])))
+        .otherwise(F.json_object_keys("_text")).alias("_keys"),
     ).drop("_doc")
     read = read.select("*", *[rfc3339_to_ts(F.col(n)).alias(f"_at_{n}") for n, k in kinds.items() if k == "time"])
 
@@ -105,20 +130,20 @@ def parse_document(rows: DataFrame, text: Column, kinds: dict[str, str]) -> Data
     exact = F.lit(True)
     for n in strict:
         exact = exact & _exact_kind(exact_doc[n], kinds[n])
-    mistyped = F.when(_suspicious(F.col("_text"), kinds), ~exact).otherwise(F.lit(False)) if strict else F.lit(False)
+    mistyped = F.when(~F.col("_plain") & _suspicious(F.col("_text"), kinds), ~exact).otherwise(F.lit(False)) if strict else F.lit(False)
     for n, k in kinds.items():
         if k == "number":
             mistyped = mistyped | F.coalesce(F.abs(F.col(n)) == float("inf"), F.lit(False))
         elif k == "uint64":
-            mistyped = mistyped | F.coalesce((F.col(n) < 0) | (F.col(n) > _uint64_limit()), F.lit(False))
+            mistyped = mistyped | (~F.col("_plain") & F.coalesce((F.col(n) < 0) | (F.col(n) > _uint64_limit()), F.lit(False)))
         elif k == "time":
             mistyped = mistyped | (F.col(n).isNotNull() & F.col(f"_at_{n}").isNull())
     # The bare word null decodes to an empty document.
     broken = (F.col("_bad_json") & (F.trim("_text") != "null")) | mistyped
-    unknown = F.try_element_at(F.array_except("_keys", F.array(*map(F.lit, names))), F.lit(1))
+    unknown = F.when(~F.col("_plain"), F.try_element_at(F.array_except("_keys", F.array(*map(F.lit, names))), F.lit(1)))
     typed = [F.col(f"_at_{n}" if k == "time" else n).alias(n) for n, k in kinds.items()]
     kept = [c for c in rows.columns if c != "_text"]
-    return read.select(*kept, *typed, broken.alias("_broken"), unknown.alias("_unknown"), "_keys", "_text")
+    return read.select(*kept, *typed, broken.alias("_broken"), unknown.alias("_unknown"), "_keys", "_text", "_plain")
 
 
 def is_present(name: str) -> Column:
@@ -130,7 +155,8 @@ def raw_text(name: str) -> Column:
     """JSON text of an ``any`` field: a string keeps its quotes, a null is the word null."""
     quoted = F.from_json("_text", f"{name} VARIANT, _malformed STRING", _STRICT)[name]
     return (
-        F.when(F.contains("_text", F.lit("\\u")) | F.col("_text").rlike(rf'"{name}"\s*:\s*"'), F.to_json(quoted))
+        F.when(F.col("_plain"), F.col(name))
+        .when(F.contains("_text", F.lit("\\u")) | F.col("_text").rlike(rf'"{name}"\s*:\s*"'), F.to_json(quoted))
         .when(F.col(name).isNull() & is_present(name), "null")
         .otherwise(F.col(name))
     )

@@ -19,8 +19,8 @@ from fleetfold.sources.tables import read_history
 
 TOPIC = "telemetry.raw"
 PARTITIONS = 6
-# Events to a task: rendering and parsing them takes a task a minute or so.
-SPREAD_ROWS = 200_000
+# Events to a task: the longest task is one of these however large the log is.
+SPREAD_ROWS = 50_000
 
 BASE_SQL = """
 base AS (
