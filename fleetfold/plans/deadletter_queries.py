@@ -15,7 +15,10 @@ D = t.CLASSIFIED_SQL + t.NAME_BASED_SQL
 
 
 def _actions(spark, sf):
-    """Refusals of the log, then per event: later refusals, marks that race, refusals after a mark."""
+    """Refusals of the log, then per event: later refusals, marks that race, refusals after a mark.
+
+    Stored as one table, as a ledger has it, since every fold reads the actions four times.
+    """
     path = work_dir(spark, "refusals")
     dl.refusals(t.classified(spark, sf)).write.parquet(path)
     first = tables.read_table(spark, path, DLQ_ACTIONS)
@@ -32,7 +35,7 @@ def _actions(spark, sf):
     out = first
     for part in (again, *marked, back):
         out = out.unionByName(part)
-    return out
+    return t.stored(out, "actions")
 
 
 _ACTIONS_SQL = f"""WITH {D},
