@@ -35,6 +35,12 @@ _PLAIN_TYPE = {
 }
 
 
+def read_as(text: Column, kinds: dict[str, str], **nested: dict[str, str]) -> Column:
+    """A document whose form is known, read with plain types; ``nested``: fields that are documents themselves."""
+    inner = [f"{n} STRUCT<" + ", ".join(f"{m}: {_PLAIN_TYPE[k]}" for m, k in of.items()) + ">" for n, of in nested.items()]
+    return F.from_json(text, ", ".join([*[f"{n} {_PLAIN_TYPE[k]}" for n, k in kinds.items()], *inner]), _STRICT)
+
+
 def once(rows: DataFrame, *computed: Column) -> DataFrame:
     """Add named columns that are computed exactly once per row.
 
@@ -87,13 +93,13 @@ def _suspicious(text: Column, kinds: dict[str, str]) -> Column:
 # Values that cannot be mistyped, out of range or escaped. No repetition may hold a group without a bound: the
 # matcher recurses there, and texts may have any length.
 _PLAIN_TEXT = r'"[ !#-\[\]-~]*+"'
-_PLAIN_NUMBER = r"-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,20})?(?:[eE][-+]?[0-9]{1,2})?"
+PLAIN_NUMBER = r"-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,20})?(?:[eE][-+]?[0-9]{1,2})?"
 _NEXT = r'(?:,(?=")|(?=\}))'
 _PLAIN_VALUE = {
     "string": _PLAIN_TEXT,
     "time": _PLAIN_TEXT,
-    "any": r"\{(?:" + _PLAIN_TEXT + ":(?:" + _PLAIN_TEXT + "|" + _PLAIN_NUMBER + ")" + _NEXT + r"){0,16}\}",
-    "number": _PLAIN_NUMBER,
+    "any": r"\{(?:" + _PLAIN_TEXT + ":(?:" + _PLAIN_TEXT + "|" + PLAIN_NUMBER + ")" + _NEXT + r"){0,16}\}",
+    "number": PLAIN_NUMBER,
     "integer": "(?:0|[1-9][0-9]{0,8})",
     "uint64": "(?:0|[1-9][0-9]{0,17})",
 }

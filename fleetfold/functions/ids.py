@@ -17,7 +17,8 @@ _DASHED = f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}"
 
 def dashed(hex32: Column) -> Column:
     """32 hex digits to the 8-4-4-4-12 form."""
-    return F.regexp_replace(hex32, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    parts = [F.substring(hex32, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(parts[0], *[c for part in parts[1:] for c in (F.lit("-"), part)])
 
 
 def canonical_uuid(text: Column) -> Column:

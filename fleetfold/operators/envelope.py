@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,17 @@ POSITION_KINDS = {
     "sequence": "uint64",
 }
 
+_TIME = r'"[0-9]{4}-[0-9]{2}-[0-9]{2}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{1,6})?Z"'
+_NAME = r'"[ !#-\[\]-~]{1,1000}+"'
+# Pattern of whole records as our own producers write them, of the one version and type the sink takes: only values are
+# left to be judged. What it must not match is what ``fields.plain_form`` must not match.
+PRODUCED_FORM = (
+    rf'^\{{"schema_version":{rules.SCHEMA_VERSION},"event_id":"[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}",'
+    rf'"event_type":"{re.escape(rules.KNOWN_EVENT_TYPES[0])}","produced_at":{_TIME},"source":{_NAME},"payload":'
+    rf'\{{"vehicle_id":{_NAME},"route_id":{_NAME},"lat":{fields.PLAIN_NUMBER},"lon":{fields.PLAIN_NUMBER},'
+    rf'(?:"speed_kph":{fields.PLAIN_NUMBER},)?(?:"bearing_deg":{fields.PLAIN_NUMBER},)?"event_ts":{_TIME},"sequence":(?:0|[1-9][0-9]{{0,17}})\}}\}}\z'
+)
+
 HEADER = ["schema_version", "event_id", "event_type", "produced_at", "source"]
 POSITION = list(POSITION_KINDS)
 
@@ -84,8 +97,45 @@ def judge(log: DataFrame) -> DataFrame:
     """Decode every record and classify its failure.
 
     ``reason`` is NULL for a record the sink may take; else one of the refusal categories. A record
-    whose header cannot be trusted is identified by its position, any other by its own id.
+    whose header cannot be trusted is identified by its position, any other by its own id. Records in the producers'
+    form are read by one parse, all others exactly; ``log`` is read once for either, so it must be deterministic.
     """
+    produced = F.coalesce(F.col("value").cast("string").rlike(PRODUCED_FORM), F.lit(False))
+    return judge_produced(log.filter(produced)).unionByName(judge_exactly(log.filter(~produced)))
+
+
+def judge_produced(log: DataFrame) -> DataFrame:
+    """``judge`` for records of ``PRODUCED_FORM``, which leaves no question of keys, types, identifiers or version."""
+    text = F.col("value").cast("string")
+    rows = log.withColumn("_doc", fields.read_as(text, {n: ENVELOPE_KINDS[n] for n in HEADER}, payload=POSITION_KINDS))
+    read = {n: F.col("_doc")[n] for n in HEADER} | {n: F.col("_doc.payload")[n] for n in POSITION}
+    read |= {n: read[n].try_cast("timestamp") for n in ("produced_at", "event_ts")}
+    rows = fields.once(rows, *[c.alias(n) for n, c in read.items()]).drop("_doc")
+    p = position_columns()
+    # A day that the calendar lacks is all that can be wrong with a time.
+    bad_header = rules.first_failure(
+        (F.col("produced_at").isNull(), "", "not a valid envelope"), (rules.is_zero_time(F.col("produced_at")), "produced_at", "is required")
+    )
+    bad_position = F.coalesce(
+        rules.first_failure((F.col("event_ts").isNull(), "", "not a valid vehicle position")),
+        rules.position_verdict(*[p[n] for n in POSITION if n != "sequence"]),
+    )
+    rows = rows.withColumns({"_header": bad_header, "_verdict": F.coalesce(bad_header, bad_position)})
+    position = ids.position_id(F.col("topic"), F.col("partition"), F.col("offset"))
+    judged = fields.once(
+        rows,
+        F.when(F.col("_header").isNotNull(), position).otherwise(F.col("event_id")).alias("_id"),
+        F.when(F.col("_verdict").isNotNull(), "decode").alias("reason"),
+        F.lit(0).alias("attempts"),
+        F.when(F.col("_verdict").isNotNull(), rules.error_field(F.col("_verdict"))).alias("error_field"),
+        F.when(F.col("_verdict").isNotNull(), rules.error_text(F.col("_verdict"))).alias("error"),
+    )
+    judged = judged.select(*log.columns, *HEADER, *[p[n].alias(n) for n in POSITION], "_id", "reason", "attempts", "error_field", "error")
+    return judged.drop("event_id").withColumnRenamed("_id", "event_id")
+
+
+def judge_exactly(log: DataFrame) -> DataFrame:
+    """``judge`` for any record."""
     decoded = decode_envelope(log)
     rows = parse_position(decoded)
     bad_header = F.col("header_verdict").isNotNull()

@@ -63,8 +63,9 @@ def history_summary(spark, sf):
 
 def state_drift(spark, sf):
     """A current table that missed the second half of the log drifts from the full history."""
-    first, _ = _halves(spark, sf)
-    return state.state_drift(state.current_state(state.history(first)), t.history(spark, sf))
+    judged = t.judged(spark, sf)
+    first, _ = _halves(spark, sf, judged)
+    return state.state_drift(state.current_state(state.history(first)), state.history(t.handled(classify.classify(judged))))
 
 
 def vehicle_track(spark, sf):

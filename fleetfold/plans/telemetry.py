@@ -170,9 +170,14 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as the table it is in production: judging reads it twice and selects by its bytes, which would be rendered anew each time."""
+    return stored(raw_log(spark, sf_dir), "log")
+
+
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log judged and stored, since classification reads it three times; bytes are kept of refused records only."""
-    rows_ = judge(raw_log(spark, sf_dir))
+    rows_ = judge(stored_log(spark, sf_dir))
     refused = F.col("reason").isNotNull()
     return stored(rows_.withColumns({"key": F.when(refused, F.col("key")), "value": F.when(refused, F.col("value"))}), "judged")
 
