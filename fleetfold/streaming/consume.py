@@ -111,7 +111,11 @@ def consume_batch(
     if base["queue"]:
         waiting = waiting.unionByName(ledger.queue(base))
     everything = held_back(waiting, now) if base["queue"] else waiting.withColumn("held", F.lit(False))
-    judged = judge(everything).persist(StorageLevel.MEMORY_AND_DISK)
+    judged = judge(everything)
+    if deliver is None and not base["queue"]:
+        # Nothing can be held back, so bytes are wanted of refused records only; they are most of what would be kept.
+        judged = judged.withColumns({c: F.when(F.col("reason").isNotNull(), F.col(c)) for c in ("key", "value")})
+    judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
     extra = None
     try:
         if deliver is not None:
