@@ -87,8 +87,9 @@ def sequence_gaps(spark, sf):
     e = t.events(spark, sf).select("event_id", "user_id")
     counted = numbered(e, ["user_id"], offset_block("event_id"), [F.col("event_id")], "counter")
     own = counted.select(F.col("event_id").alias("sequence"), "counter")
-    hist = t.stored_history(spark, sf).join(own, "sequence").drop("sequence").withColumnRenamed("counter", "sequence")
-    return routes.sequence_gaps(hist)
+    hist = t.history(spark, sf).select("vehicle_id", "event_id", "sequence").join(own, "sequence")
+    # The operator reads its rows three times; what it needs of them is stored, so that they are numbered and joined once.
+    return routes.sequence_gaps(t.stored(hist.select("vehicle_id", "event_id", F.col("counter").alias("sequence")), "reports"))
 
 
 def _pairs(spark, sf):
