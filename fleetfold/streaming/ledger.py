@@ -22,12 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetfold.operators import deadletters, known_ids, state
+from fleetfold.operators.envelope import judge
 from fleetfold.schemas import CURRENT, DLQ_ACTIONS, LEDGER, LOG, columns
 from fleetfold.streaming.manifest import Abandon, Manifests, retire
 
 ROWS = LEDGER + ", commit BIGINT"
 CURRENT_SEQUENCE = CURRENT + ", sequence BIGINT"
-QUEUE = LOG + ", tries INT, due_at TIMESTAMP"
+UNJUDGED = LOG + ", tries INT, due_at TIMESTAMP"
+QUEUE = (
+    UNJUDGED + ", event_id STRING, schema_version BIGINT, event_type STRING, produced_at TIMESTAMP, source STRING, vehicle_id STRING, route_id STRING, "
+    "lat DOUBLE, lon DOUBLE, speed_kph DOUBLE, bearing_deg DOUBLE, event_ts TIMESTAMP, sequence DECIMAL(20,0), reason STRING, attempts INT, error_field STRING, error STRING"
+)
 SCHEMAS = {"rows": ROWS, "frames": "frame STRING", "summary": deadletters.SUMMARY, "marks": DLQ_ACTIONS}
 FANOUT = 8
 BUCKETS = 16
@@ -95,8 +100,10 @@ class Ledger:
         return self.spark.createDataFrame([tuple(p) for p in self.manifest()["positions"]], "topic STRING, partition INT, committed BIGINT")
 
     def queue(self, manifest: dict | None = None) -> DataFrame:
-        """Records that wait: to be tried again, or held back behind one that is."""
+        """Records that wait, judged: to be tried again, or held back behind one that is."""
         path = (manifest or self.manifest())["queue"]
+        if path and path.startswith("data/queue/"):  # written when records were judged again in every turn
+            return judge(self.spark.read.schema(UNJUDGED).parquet(self._path(path)))
         return self.spark.read.schema(QUEUE).parquet(self._path(path)) if path else self.spark.createDataFrame([], QUEUE)
 
     # -- committing ----------------------------------------------------------------------------
@@ -170,7 +177,7 @@ class Ledger:
             return None if dead.isEmpty() else {"path": self._store("summary", deadletters.summarize(deadletters.refusals(dead)))}
 
         def waiting() -> str | None:
-            return None if queue is None else self._store("queue", queue.select(*columns(QUEUE)))
+            return None if queue is None else self._store("waiting", queue.select(*columns(QUEUE)))
 
         jobs = {"ids": ids, "current": current, "frames": frames, "summary": summary, "queue": waiting}
         with ThreadPoolExecutor(len(jobs)) as pool:
